@@ -37,6 +37,18 @@ def session(app: str = "peerlens", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_peerlens_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = tempfile.mkdtemp(prefix="peerlens-package-")
+    archive = shutil.make_archive(os.path.join(root, "peerlens"), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    context._peerlens_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One of the driver's parquet tables (a file or a folder of parts)."""
     return spark.read.parquet(f"{root}/{name}.parquet")
@@ -114,7 +126,10 @@ def hot_keys(df: DataFrame, key: str, least: int = 100_000, most: int = 1_000) -
     one-column frame is always safe to broadcast. None if there is no such key.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.count()
+    # one pass usually shows that no key comes near the threshold
+    total, top = counts.agg(F.sum("_n"), F.max(F.when(F.col(key).isNotNull(), F.col("_n")))).first()
+    if not top or top <= max(least, total // most):
+        return None
     keys = [r[0] for r in counts.where(F.col("_n") > max(least, total // most)).select(key).collect() if r[0] is not None]
     if not keys:
         return None
