@@ -41,7 +41,7 @@ MIN_SHARE = 0.3
 
 BLANK = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\u200B\u2060\uFEFF"
 GROUP = r"[ \xA0\u2000-\u200A\u202F'\u2019]"
-_SPLIT = rf"^([^0-9+\-.,\u2212]*?)[{BLANK}]*([+\-\u2212]?[0-9.,][0-9.,' \xA0\u2000-\u200A\u202F\u2019]*?(?:[eE][+\-]?[0-9]+)?)[{BLANK}]*([^0-9]*)$"
+_SPLIT = rf"^([^0-9+\-.,\u2212]*?)[{BLANK}]*([+\-\u2212]?[0-9.,](?:[0-9.,]|[' \xA0\u2000-\u200A\u202F\u2019](?=[0-9]))*+(?:[eE][+\-]?[0-9]+)?)[{BLANK}]*([^0-9]*)$"
 
 
 def fold_unit(text: Column) -> Column:
@@ -220,9 +220,8 @@ def total_in_sats(sealed: DataFrame, observers: DataFrame, amounts: str = "outpu
     # one pass over the tokens gives the distinct spellings and the observers' habits, both combined map-side
     bare = (F.col("unit") == "") & F.col("number").isNotNull()
     fraction = bare & F.col("number").rlike(r"[.,]")
-    facts = durable(
-        tokens.where(F.col("unit").isNotNull()).groupBy("observer_id", "unit").agg(F.max(F.coalesce(fraction, F.lit(False))).alias("fraction")), "unit-facts"
-    )
+    # filtered only after writing: a filter on the unit would pull a second copy of the parsing below the aggregate
+    facts = durable(tokens.groupBy("observer_id", "unit").agg(F.max(F.coalesce(fraction, F.lit(False))).alias("fraction")), "unit-facts").where(F.col("unit").isNotNull())
     observers = observers.where(F.col("observer_id").isNotNull()).groupBy("observer_id").agg(F.min("amount_unit").alias("amount_unit"), F.min("note").alias("note"))
     own = observers.select("observer_id", fold_unit(F.col("amount_unit")).alias("spelling"))
     words = note_words(observers)
