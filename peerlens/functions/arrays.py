@@ -31,3 +31,9 @@ def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two sets; null if both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union)
+
+
+def paired(addresses: str, amounts: str) -> Column:
+    """Array of (address, sats) by position; a null or short amount list pads with null."""
+    filled = F.coalesce(F.col(amounts), F.array().cast("array<bigint>"))
+    return F.arrays_zip(F.col(addresses).alias("address"), filled.alias("sats"))

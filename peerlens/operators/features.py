@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peerlens.functions.arrays import paired
 from peerlens.functions.stats import distinct_with_null, truncated_median
 from peerlens.operators.asof import asof_join
 
@@ -121,7 +122,7 @@ def typology_load(hits: DataFrame, sent_pairs: DataFrame) -> DataFrame:
 def morphology(tx: DataFrame, sent_pairs: DataFrame) -> DataFrame:
     """Six shape features of what a subject sent."""
     median = tx.agg(F.median("fee_rate_sat_vb").alias("_median"))
-    banded = reduce(lambda a, b: a | b, [F.exists("output_amounts", lambda x, t=t: (x >= t * 9 // 10) & (x < t)) for t in LADDER])
+    banded = F.exists("output_amounts", lambda x: reduce(lambda a, b: a | b, [(x >= t * 9 // 10) & (x < t) for t in LADDER]))
     shape = tx.select(
         "txid", "first_seen_us", "n_out", "total_out_sats", "fee_rate_sat_vb", F.size("input_addresses").alias("n_in"), F.array_min("output_amounts").alias("lo"),
         F.array_max("output_amounts").alias("hi"), F.coalesce(banded, F.lit(False)).alias("banded"),
@@ -144,7 +145,7 @@ def flows(tx: DataFrame, members: DataFrame) -> DataFrame:
     subjects, not addresses.
     """
     def side(addresses: str, amounts: str) -> DataFrame:
-        return tx.select("txid", F.inline(F.arrays_zip(F.col(addresses).alias("address"), F.col(amounts).alias("sats")))).where(F.col("address").isNotNull())
+        return tx.select("txid", F.inline(paired(addresses, amounts))).where(F.col("address").isNotNull())
 
     ins, outs = side("input_addresses", "input_amounts"), side("output_addresses", "output_amounts")
     sent = ins.join(members, "address").groupBy("subject_id", "txid").agg(F.sum("sats").alias("sats"))

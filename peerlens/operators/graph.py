@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peerlens.functions import text
+from peerlens.functions.arrays import paired
 from peerlens.operators.components import components
 from peerlens.runtime import durable
 
@@ -24,13 +25,13 @@ def mixer() -> Column:
 
 def spends(tx: DataFrame) -> DataFrame:
     """Edges address -> transaction, one per input, with the amount."""
-    rows = tx.select("txid", "first_seen_us", F.inline(F.arrays_zip(F.col("input_addresses").alias("address"), F.col("input_amounts").alias("sats"))))
+    rows = tx.select("txid", "first_seen_us", F.inline(paired("input_addresses", "input_amounts")))
     return _flow(rows, text.node_id("addr", F.col("address")), text.node_id("tx", F.col("txid")), "SPENDS")
 
 
 def receives(tx: DataFrame) -> DataFrame:
     """Edges transaction -> address, one per output, with the amount."""
-    rows = tx.select("txid", "first_seen_us", F.inline(F.arrays_zip(F.col("output_addresses").alias("address"), F.col("output_amounts").alias("sats"))))
+    rows = tx.select("txid", "first_seen_us", F.inline(paired("output_addresses", "output_amounts")))
     return _flow(rows, text.node_id("tx", F.col("txid")), text.node_id("addr", F.col("address")), "RECEIVES")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peerlens.functions.arrays import contains, has_repeats, total
+from peerlens.functions.arrays import contains, has_repeats, paired, total
 from peerlens.functions.stats import first_by, truncated_median
 from peerlens.functions.text import script_type
 from peerlens.operators.asof import asof_join
@@ -132,7 +132,7 @@ def change_index():
 def sides(tx: DataFrame) -> DataFrame:
     """(address, txid, side, sats, at_us): every input and output of every transaction."""
     def one(addresses: str, amounts: str, side: str) -> DataFrame:
-        return tx.select("txid", F.col("first_seen_us").alias("at_us"), F.inline(F.arrays_zip(F.col(addresses).alias("address"), F.col(amounts).alias("sats")))).where(F.col("address").isNotNull()).select("address", "txid", F.lit(side).alias("side"), "sats", "at_us")
+        return tx.select("txid", F.col("first_seen_us").alias("at_us"), F.inline(paired(addresses, amounts))).where(F.col("address").isNotNull()).select("address", "txid", F.lit(side).alias("side"), "sats", "at_us")
 
     return one("input_addresses", "input_amounts", "in").unionByName(one("output_addresses", "output_amounts", "out"))
 

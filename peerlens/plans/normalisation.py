@@ -152,8 +152,8 @@ ORACLES = {
     "nrm09_dwell": f"""
       WITH {base.SIDES}, s AS (SELECT address, at_us FROM sides WHERE side = 'in' AND at_us IS NOT NULL),
       r AS (SELECT DISTINCT address, at_us FROM sides WHERE side = 'out' AND at_us IS NOT NULL)
-      SELECT address, trunc(median(s.at_us - r.at_us))::BIGINT AS dwell_time_us
-      FROM s ASOF JOIN r ON s.address = r.address AND s.at_us >= r.at_us GROUP BY address""",
+      SELECT s.address, trunc(median(s.at_us - r.at_us))::BIGINT AS dwell_time_us
+      FROM s ASOF JOIN r ON s.address = r.address AND s.at_us >= r.at_us GROUP BY s.address""",
     "nrm10_script_types": f"""
       WITH d AS (SELECT address, arg_min(kind, row_id) FILTER (kind IS NOT NULL) AS declared FROM (
         SELECT row_id, unnest(output_addresses) AS address, unnest(script_types) AS kind FROM sealed WHERE len(script_types) = len(output_addresses))
