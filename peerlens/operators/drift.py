@@ -96,7 +96,8 @@ def consecutive(schemas: DataFrame) -> DataFrame:
     direct = joined.where(F.col("_has") & F.col("fields").isNotNull()).select("feed", "file_no", "old", F.col("fields").alias("new"))
     ends = joined.where(F.col("_has").isNull()).select("feed", "file_no", F.lit(1).alias("_side"), "fields")
     starts = joined.where(F.col("_has") & F.col("fields").isNull()).select("feed", (F.col("file_no") - 1).cast("int").alias("file_no"), F.lit(0).alias("_side"), F.col("old").alias("fields"))
-    w = Window.partitionBy("feed").orderBy("file_no", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    # at one number the file that looks back sorts before the same file as a predecessor
+    w = Window.partitionBy("feed").orderBy("file_no", F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
     jumps = ends.unionByName(starts).withColumn("old", F.last(F.when(F.col("_side") == 0, F.col("fields")), ignorenulls=True).over(w))
     jumps = jumps.where((F.col("_side") == 1) & F.col("old").isNotNull()).select("feed", "file_no", "old", F.col("fields").alias("new"))
     return direct.unionByName(jumps)
