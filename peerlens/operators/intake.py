@@ -67,7 +67,7 @@ def instant(text: Column, clock: str) -> Column:
     """UTC microseconds; numbers in an ISO file are seconds, a naive ISO text is UTC."""
     scale = {"us": 1, "ms": 1_000, "s": 1_000_000, "iso": 1_000_000}[clock]
     t = F.trim(text)
-    number = F.when(t.rlike(r"^-?[0-9]{1,18}$"), t.try_cast("bigint") * scale)
+    number = F.when(t.rlike(r"^-?[0-9]{1,18}$"), F.try_multiply(t.try_cast("bigint"), F.lit(scale)))
     iso = F.when(~t.rlike(r"^-?[0-9]+$"), F.unix_micros(F.try_to_timestamp(t)))
     return F.coalesce(number, iso) if clock == "iso" else number
 
