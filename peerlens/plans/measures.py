@@ -203,8 +203,8 @@ def alr02_anchor(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"""WITH {base.SIDES}, {scoring.network.SUBJECTS}, s AS (SELECT DISTINCT subject_id, txid FROM sides JOIN subject_map USING (address) WHERE side = 'in'),
-    a AS (SELECT txid, bool_and(abstain) AS refused FROM origin_estimates WHERE estimator = 'ensemble' GROUP BY txid), m AS (SELECT txid, sum(p_origin) AS mass FROM origin_estimates WHERE estimator = 'ensemble' AND p_origin IS NOT NULL AND NOT isnan(p_origin) GROUP BY txid)
-    SELECT subject_id, round(avg(coalesce(refused, true)::INT), 9) AS abstain_share, round(max(mass), 6) AS top_mass FROM s LEFT JOIN a USING (txid) LEFT JOIN m USING (txid) GROUP BY subject_id""")
+    a AS (SELECT txid, bool_and(abstain) AS refused FROM origin_estimates WHERE estimator = 'ensemble' GROUP BY txid), m AS (SELECT txid, sum(floor(p_origin * 1000000 + 0.5)::BIGINT)::BIGINT AS mass FROM origin_estimates WHERE estimator = 'ensemble' AND p_origin IS NOT NULL AND NOT isnan(p_origin) GROUP BY txid)
+    SELECT subject_id, round(avg(coalesce(refused, true)::INT), 9) AS abstain_share, max(mass) AS top_mass_millionths FROM s LEFT JOIN a USING (txid) LEFT JOIN m USING (txid) GROUP BY subject_id""")
 def alr05_abstain_share(spark: SparkSession, root: str) -> DataFrame:
     """Share of a subject's sends without an answer, and the largest observed origin mass."""
     from peerlens.operators.normalise import sides
@@ -212,5 +212,5 @@ def alr05_abstain_share(spark: SparkSession, root: str) -> DataFrame:
 
     s = sides(base.tx(spark, root)).where("side = 'in'").join(subjects(spark, root), "address").select("subject_id", "txid").distinct()
     e = table(spark, root, "origin_estimates").where("estimator = 'ensemble'")
-    per = e.groupBy("txid").agg(F.bool_and("abstain").alias("refused"), F.sum(F.when(F.col("p_origin").isNotNull() & ~F.isnan("p_origin"), F.col("p_origin"))).alias("mass"))
-    return s.join(per, "txid", "left").groupBy("subject_id").agg(F.round(F.avg(F.coalesce("refused", F.lit(True)).cast("int")), 9).alias("abstain_share"), F.round(F.max("mass"), 6).alias("top_mass"))
+    per = e.groupBy("txid").agg(F.bool_and("abstain").alias("refused"), F.sum(F.when(F.col("p_origin").isNotNull() & ~F.isnan("p_origin"), F.floor(F.col("p_origin") * 1_000_000 + 0.5))).alias("mass"))
+    return s.join(per, "txid", "left").groupBy("subject_id").agg(F.round(F.avg(F.coalesce("refused", F.lit(True)).cast("int")), 9).alias("abstain_share"), F.max("mass").alias("top_mass_millionths"))

@@ -267,3 +267,8 @@ ORACLES = {
     "ftr17_signed_log": f"""WITH {base.SIDES}, {network.SUBJECTS}, {FLOWS} SELECT subject_id, round(sign(balance_sats) * ln(1 + abs(balance_sats)), 6) + 0.0 AS balance_log,
       round(sign(coalesce(mean_sent_sats, 0)) * ln(1 + abs(coalesce(mean_sent_sats, 0))), 6) + 0.0 AS mean_sent_log FROM flows""",
 }
+ORACLES["ftr13_subject_table"] = f"""
+  SELECT a.*, c.n_counterparties, f.max_fan_out, d.median_dwell_us, coalesce(t.n_typologies, 0) AS n_typologies, coalesce(t.n_typology_txns, 0) AS n_typology_txns, coalesce(m.fan_in_ratio, 0) AS fan_in_ratio, coalesce(m.peel_chain_depth, 0) AS peel_chain_depth,
+         coalesce(m.peel_leak_frac, 0.0) AS peel_leak_frac, coalesce(m.structuring_frac, 0.0) AS structuring_frac, coalesce(m.burstiness, 0.0) AS burstiness, coalesce(m.fee_anomaly, 0.0) AS fee_anomaly
+  FROM ({ORACLES["ftr03_activity"]}) a LEFT JOIN ({ORACLES["ftr04_counterparties"]}) c USING (subject_id) LEFT JOIN ({ORACLES["ftr05_max_fan_out"]}) f USING (subject_id) LEFT JOIN ({ORACLES["ftr06_dwell"]}) d USING (subject_id)
+  LEFT JOIN ({ORACLES["ftr11_typology_load"]}) t USING (subject_id) LEFT JOIN ({ORACLES["ftr12_morphology"].replace(", 6)", ", 4)")}) m USING (subject_id)"""
