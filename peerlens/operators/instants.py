@@ -120,9 +120,10 @@ def instant_dictionary(rows: DataFrame, known: DataFrame | None = None) -> DataF
     """Distinct (raw, zone, date_order) of ``rows``, each parsed once.
 
     ``known`` is a dictionary of earlier runs; its entries are not parsed again.
-    Returns only the new entries: raw, zone, date_order, ts_us (null: no time).
+    Returns only the new entries: raw, zone, date_order, n_rows (of this call),
+    ts_us (null: no time).
     """
-    fresh = rows.where(F.col("raw").isNotNull()).select("raw", "zone", "date_order").distinct()
+    fresh = rows.where(F.col("raw").isNotNull()).groupBy("raw", "zone", "date_order").agg(F.count(F.lit(1)).alias("n_rows"))
     if known is not None:
         same = [fresh[c].eqNullSafe(known[c]) for c in ("raw", "zone", "date_order")]
         fresh = fresh.join(known, same, "left_anti")
@@ -135,6 +136,7 @@ def normalise_instants(
     dictionary_path: str | None = None,
     id_col: str = "row_id",
     raw_col: str = "ts_raw",
+    hot_rows: int = 100_000,
 ) -> DataFrame:
     """(row_id, ts_us) of every row whose raw text is a time.
 
@@ -162,8 +164,15 @@ def normalise_instants(
         dictionary = spark.read.parquet(dictionary_path)
     else:
         dictionary = durable(instant_dictionary(rows), "instants")
-    found = dictionary.where(F.col("ts_us").isNotNull()).select(
-        "raw", F.coalesce("zone", F.lit("")).alias("zone"), F.coalesce("date_order", F.lit("")).alias("date_order"), "ts_us"
-    )
-    keyed = rows.select(id_col, "raw", F.coalesce("zone", F.lit("")).alias("zone"), F.coalesce("date_order", F.lit("")).alias("date_order"))
-    return keyed.join(found, ["raw", "zone", "date_order"]).select(id_col, "ts_us")
+    key = ["raw", "zone", "date_order"]
+    flat = [F.coalesce("zone", F.lit("")).alias("zone"), F.coalesce("date_order", F.lit("")).alias("date_order")]
+    found = dictionary.where(F.col("ts_us").isNotNull()).select("raw", *flat, "ts_us", "n_rows")
+    keyed = rows.select(id_col, "raw", *flat)
+    # texts with more than a thousandth of all rows are fewer than a thousand: they meet their instants by broadcast
+    total = dictionary.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    hot = found.where(F.col("n_rows") > max(hot_rows, total // 1_000)).drop("n_rows")
+    if hot.isEmpty():
+        return keyed.join(found, key).select(id_col, "ts_us")
+    hot = F.broadcast(durable(hot, "hot-instants"))
+    cold = keyed.join(hot, key, "left_anti").join(found, key)
+    return cold.select(id_col, "ts_us").unionByName(keyed.join(hot, key).select(id_col, "ts_us"))

@@ -88,3 +88,11 @@ def test_dictionary_grows(spark, tmp_path):
 def test_dictionary_is_distinct(spark):
     rows = spark.createDataFrame([("1735691510", None, None)] * 5, "raw string, zone string, date_order string")
     assert instant_dictionary(rows).count() == 1
+
+
+def test_hot_texts_take_the_broadcast(spark):
+    obs = spark.createDataFrame([("a", "UTC", None)], "observer_id string, tz string, date_order string")
+    rows = [(i, "1735691510" if i % 2 else f"17356915{i:02d}", "a") for i in range(60)] + [(99, "pending", "a")]
+    df = spark.createDataFrame(rows, "row_id long, ts_raw string, observer_id string")
+    plain, hot = (sorted(tuple(r) for r in normalise_instants(df, obs, hot_rows=n).collect()) for n in (1000, 5))
+    assert plain == hot and len(hot) == 60
