@@ -12,6 +12,7 @@ form. Letter case, accents, digits, punctuation and line breaks stay.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -129,11 +130,15 @@ def _plain_characters() -> dict[int, str | None]:
 def _tables():
     import regex
 
-    plain = _plain_characters()
+    codes = _plain_characters()
+    plain = {chr(i): rewrite or "" for i, rewrite in codes.items()}
     classes = _classes()
     token = regex.compile(r"[\p{L}\p{M}]+")
-    touched = regex.compile("[" + "".join(sorted(classes)) + "]")
-    return plain, classes, token, touched
+    # texts without such characters skip the step that rewrites them
+    touched = re.compile("[" + "".join(c for c in sorted(classes) if not c.isascii()) + "]")
+    # one range stands for all characters beyond U+FFFF: a class of mixed planes is searched slowly
+    special = re.compile("[" + "".join(re.escape(chr(i)) for i in sorted(codes) if i < 0x10000) + "\U00010000-\U0010ffff]")
+    return plain, classes, token, touched, special
 
 
 _RESOLVED: dict[str, str] = {}
@@ -168,8 +173,10 @@ def one_form(text: str) -> str:
     """The one form of a text; equal for texts that look the same."""
     if text.isascii():
         return text.replace("\t", " ")
-    plain, _, token, touched = _tables()
-    flat = unicodedata.normalize("NFD", text.translate(plain))
+    plain, _, token, touched, special = _tables()
+    flat = unicodedata.normalize("NFD", special.sub(lambda m: plain.get(m.group(), m.group()), text))
+    if not touched.search(flat):
+        return unicodedata.normalize("NFC", flat)
     if len(_RESOLVED) > CACHE_TOKENS:
         _RESOLVED.clear()
 
@@ -178,7 +185,7 @@ def one_form(text: str) -> str:
         if word.isascii():
             return word
         if word not in _RESOLVED:
-            resolved = resolve_token(word) if touched.search(word) else word
+            resolved = resolve_token(word)
             if len(word) > 64:
                 return resolved
             _RESOLVED[word] = resolved
