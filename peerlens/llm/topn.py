@@ -64,10 +64,11 @@ def top_n(rows: DataFrame, keys: list[str], item: str, score: str, n: int = 3, p
                 yield kept.iloc[at : at + 50_000]
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    # one exchange by group serves the bounds, the join and the ranking
     kept = slim.mapInPandas(local, schema).repartition(parts, *keys)
-    bounds = kept.groupBy(*keys).agg(F.max("_bound").alias("_least"))
-    survivors = kept.join(bounds, keys).where(F.col("_least").isNull() | (F.col("_score") >= F.col("_least")))
+    # the largest bound of a group meets its rows in the partition where both already are: as a window it needs
+    # one exchange and one local pass, where a join of two branches would run the local pass twice
+    least = F.max("_bound").over(Window.partitionBy(*keys))
+    survivors = kept.withColumn("_least", least).where(F.col("_least").isNull() | (F.col("_score") >= F.col("_least")))
     single = survivors.groupBy(*keys, item).agg(F.max("_score").alias("_score"))
     w = Window.partitionBy(*keys).orderBy(F.desc("_score"), F.asc(item))
     return single.withColumn(place, F.row_number().over(w).cast("long")).where(F.col(place) <= n).select(*keys, item, place)
