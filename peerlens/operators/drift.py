@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peerlens.runtime import durable
+
 # List-valued and integer-valued columns of the one table.
 LISTS = ("input_addresses", "output_addresses", "input_amounts", "output_amounts", "script_types")
 WHOLE = ("src_port", "dst_port", "asn", "fee_sats", "vsize", "block_height")
@@ -195,7 +197,8 @@ def schema_changes(files: DataFrame, records: DataFrame, aliases: DataFrame) ->
     are left out; a file without records has columns without types, and a type
     that is unknown on either side is no change. Empty tables give no rows.
     """
-    pairs = consecutive(file_schemas(files, records, aliases))
+    # one row per file: written once, as the pairing reads it on several sides
+    pairs = consecutive(durable(file_schemas(files, records, aliases), "schemas"))
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
