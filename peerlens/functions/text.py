@@ -51,12 +51,13 @@ def hash_id(text: Column, n: int = 16, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, n))
 
 
-# Words in an operator's name that tell its network class, in order of precedence.
-CLASS_WORDS = (
-    ("vpn", ("vpn", "proxy", "mullvad", "nordvpn", "expressvpn")),
-    ("mobile", ("mobile", "cellular", "wireless", "carrier", "lte", "gsm")),
-    ("hosting", ("hosting", "cloud", "datacenter", "data center", "server", "vps", "colo", "hetzner", "ovh", "amazon", "digitalocean", "linode")),
-)
+# Words in an operator's name that tell its network class; VPN is asked before mobile and hosting.
+VPN_WORDS = ("vpn", "proxy", "privacy", "anonym", "tunnel", "mullvad", "private internet")
+MOBILE_WORDS = ("mobile", "cellular", "wireless", "gsm", "lte")
+HOSTING_WORDS = (
+    "hosting", "cloud", "data center", "datacenter", "data centre", "server", "vps", "dedicated", "colocation", "amazon",
+    "google", "microsoft", "digitalocean", "ovh", "hetzner", "linode", "vultr", "alibaba", "oracle",
+)
 
 
 def net_class(org: Column, is_tor: Column, is_proxy: Column, asn_known: Column, other_known: Column) -> Column:
@@ -68,11 +69,11 @@ def net_class(org: Column, is_tor: Column, is_proxy: Column, asn_known: Column,
     """
     name = F.lower(org)
     out = (
-        F.when(F.coalesce(is_tor, F.lit(False)), "tor")
+        F.when(F.coalesce(is_tor, F.lit(False)), "tor_exit")
         .when(~asn_known, F.when(other_known, "unknown"))
         .when(F.coalesce(is_proxy, F.lit(False)), "vpn_suspect")
         .when(org.isNull(), "unknown")
     )
-    for label, wordlist in CLASS_WORDS:
-        out = out.when(name.rlike("|".join(wordlist)), "vpn_suspect" if label == "vpn" else label)
+    for label, words in (("vpn_suspect", VPN_WORDS), ("mobile", MOBILE_WORDS), ("hosting", HOSTING_WORDS)):
+        out = out.when(name.rlike("|".join(words)), label)
     return out.otherwise("residential")

@@ -81,7 +81,7 @@ def asn_rollup(peer_table: DataFrame, enriched_ann: DataFrame) -> DataFrame:
         F.min("as_org").alias("as_org"),
         F.min("geo_country").alias("geo_country"),
         F.count(F.lit(1)).alias("n_peers"),
-        *[F.count_if(F.col("net_class") == c).alias(f"n_{c}") for c in NET_CLASSES],
+        *[F.count_if(F.col("net_class").isin(c, f"{c}_exit")).alias(f"n_{c}") for c in NET_CLASSES],
     )
     by_ann = enriched_ann.groupBy(F.col("asn").alias("_asn")).agg(
         F.count(F.lit(1)).alias("n_announcements"), F.count_distinct("txid").alias("n_txids"), F.avg((F.col("rank_in_tx") == 1).cast("int")).alias("frac_rank_one")

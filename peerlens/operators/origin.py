@@ -19,8 +19,10 @@ from peerlens.operators.asof import asof_join
 # The log-gap of the escape mass, the smallest prior, and the decay of the first-seen rule.
 ESCAPE_GAP, EPS = 1.0, 1e-12
 FIRST, DECAY = 0.5, 0.5
-# Codes of the network classes; any other class is 0.
-CLASS_CODES = {"hosting": 1, "residential": 2, "tor": 3, "unknown": 4, "vpn_suspect": 5}
+# Codes of the network classes; any other class is 0. Tor exits go by two names.
+CLASS_CODES = {"hosting": 1, "residential": 2, "tor_exit": 3, "tor": 3, "unknown": 4, "vpn_suspect": 5}
+# Least separation of the first two candidates, and fewest announcements, to answer.
+MARGIN_FLOOR, MIN_ANNOUNCEMENTS = 0.04, 2
 # Weak evidence that refuses a transaction at every grain.
 INHERITED = ("tor_present", "single_observer", "too_few_announcements")
 
@@ -52,7 +54,7 @@ def candidates(ann: DataFrame, peers: DataFrame, payers: DataFrame | None = None
         F.coalesce("payer_shared", F.lit(0)).alias("payer_shared"), F.coalesce("peer_degree", F.lit(0)).alias("peer_degree"),
         F.count(F.lit(1)).over(Window.partitionBy("txid")).alias("n_candidates"),
         F.greatest(F.col("_all") - F.col("n_observers_seen"), F.lit(0)).alias("n_observers_blind"),
-        F.coalesce(F.col("net_class") == "tor", F.lit(False)).alias("is_tor_exit"), F.coalesce(F.col("net_class").isin("hosting", "vpn_suspect"), F.lit(False)).alias("is_hosting"),
+        F.coalesce(F.col("net_class").isin("tor_exit", "tor"), F.lit(False)).alias("is_tor_exit"), F.coalesce(F.col("net_class").isin("hosting", "vpn_suspect"), F.lit(False)).alias("is_hosting"),
         code.cast("int").alias("net_class_code"),
     )
 
@@ -83,7 +85,7 @@ def escape_softmax(df: DataFrame, score: str, out: str = "p_origin") -> DataFram
     return lifted.withColumn(out, F.col("_e") / (F.sum("_e").over(w) + math.exp(-ESCAPE_GAP))).drop("_e")
 
 
-def finalise(scored: DataFrame, estimator: str, margin_floor: float = 0.1, min_announcements: int = 3) -> DataFrame:
+def finalise(scored: DataFrame, estimator: str, margin_floor: float = MARGIN_FLOOR, min_announcements: int = MIN_ANNOUNCEMENTS) -> DataFrame:
     """Cap, rank, margin and abstention of every transaction.
 
     Mass above one is scaled down to one, mass below stays. Order is probability,
@@ -135,7 +137,7 @@ def _leaders(df: DataFrame, key: str, score: str) -> DataFrame:
     return top
 
 
-def operator_rollup(estimates: DataFrame, peers: DataFrame, asn_prior: DataFrame, margin_floor: float = 0.1) -> DataFrame:
+def operator_rollup(estimates: DataFrame, peers: DataFrame, asn_prior: DataFrame, margin_floor: float = MARGIN_FLOOR) -> DataFrame:
     """One operator and one country per transaction, with refusal.
 
     Mass is summed by operator and weighted by its prior; a null operator is a

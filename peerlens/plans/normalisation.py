@@ -161,10 +161,10 @@ ORACLES = {
       SELECT address, declared, {_OWN} AS own, coalesce(declared, {_OWN}) AS script_type FROM d""",
     "nrm11_net_class": """
       WITH f AS (SELECT peer_ip, lower(min(as_org)) AS o, bool_or(coalesce(net_class = 'tor', false)) AS t FROM origin_abstain WHERE peer_ip IS NOT NULL GROUP BY peer_ip)
-      SELECT peer_ip, CASE WHEN t THEN 'tor' WHEN o IS NULL THEN 'unknown'
-        WHEN regexp_matches(o, 'vpn|proxy|mullvad|nordvpn|expressvpn') THEN 'vpn_suspect'
-        WHEN regexp_matches(o, 'mobile|cellular|wireless|carrier|lte|gsm') THEN 'mobile'
-        WHEN regexp_matches(o, 'hosting|cloud|datacenter|data center|server|vps|colo|hetzner|ovh|amazon|digitalocean|linode') THEN 'hosting'
+      SELECT peer_ip, CASE WHEN t THEN 'tor_exit' WHEN o IS NULL THEN 'unknown'
+        WHEN regexp_matches(o, 'vpn|proxy|privacy|anonym|tunnel|mullvad|private internet') THEN 'vpn_suspect'
+        WHEN regexp_matches(o, 'mobile|cellular|wireless|gsm|lte') THEN 'mobile'
+        WHEN regexp_matches(o, 'hosting|cloud|data center|datacenter|data centre|server|vps|dedicated|colocation|amazon|google|microsoft|digitalocean|ovh|hetzner|linode|vultr|alibaba|oracle') THEN 'hosting'
         ELSE 'residential' END AS net_class FROM f""",
     "nrm12_peer_facts": f"WITH {base.FACTS} SELECT * FROM facts",
     "joi06_asof_backward": """

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from peerlens.operators import features, origin, typology
 from peerlens.plans import base, network
-from peerlens.runtime import table
 
 RELAY_US = 2_000_000.0
 BOUNDARY_US = 1_750_000_000_000_000
@@ -173,7 +172,7 @@ def finalised(score_sql: str, estimator: str) -> str:
   cap AS (SELECT *, p0 / greatest(sum(p0) OVER (PARTITION BY txid), 1.0) AS p FROM s),
   pos AS (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY p DESC, row_id) AS plc FROM cap),
   two AS (SELECT *, max(p) FILTER (plc = 1) OVER (PARTITION BY txid) AS p1, coalesce(max(p) FILTER (plc = 2) OVER (PARTITION BY txid), 0) AS p2, bool_or(is_tor_exit) OVER (PARTITION BY txid) AS tor, sum(n_announcements) OVER (PARTITION BY txid) AS n FROM pos),
-  why AS (SELECT *, CASE WHEN tor THEN 'tor_present' WHEN n_observers_in_tx <= 1 THEN 'single_observer' WHEN n < 3 THEN 'too_few_announcements' WHEN CASE WHEN p1 + p2 > 0 THEN (p1 - p2) / (p1 + p2) ELSE 0 END < 0.1 THEN 'margin_below_floor' END AS abstain_reason FROM two),
+  why AS (SELECT *, CASE WHEN tor THEN 'tor_present' WHEN n_observers_in_tx <= 1 THEN 'single_observer' WHEN n < 2 THEN 'too_few_announcements' WHEN CASE WHEN p1 + p2 > 0 THEN (p1 - p2) / (p1 + p2) ELSE 0 END < 0.04 THEN 'margin_below_floor' END AS abstain_reason FROM two),
   est AS (SELECT txid, peer_ip, p AS p_origin, plc + (abstain_reason IS NOT NULL)::INT AS rank, p1 - p2 AS margin, '{estimator}' AS estimator, abstain_reason IS NOT NULL AS abstain, abstain_reason, n_announcements, is_tor_exit FROM why)"""
 
 
@@ -192,7 +191,7 @@ ROLLUP = f"""{CAND}, {FIRST}, lab AS (SELECT e.txid, e.peer_ip, e.p_origin, p.as
   cp AS (SELECT *, e / (sum(e) OVER (PARTITION BY txid) + exp(-1.0)) AS p FROM (SELECT *, exp(sc - max(sc) OVER (PARTITION BY txid)) AS e FROM ca)),
   ct AS (SELECT txid, geo_country AS origin_country, p AS p_country FROM (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY p DESC, geo_country NULLS FIRST) AS plc FROM cp) WHERE plc = 1),
   rolled AS (SELECT txid, origin_asn, as_org, net_class, p_asn, origin_country, p_country, p_asn - p2 AS margin, coalesce(shortlist_size, 0) AS shortlist_size,
-    CASE WHEN reason IN ('tor_present', 'single_observer', 'too_few_announcements') THEN reason WHEN CASE WHEN p_asn + p2 > 0 THEN (p_asn - p2) / (p_asn + p2) ELSE 0 END < 0.1 THEN 'cross_asn_ambiguous' END AS abstain_reason
+    CASE WHEN reason IN ('tor_present', 'single_observer', 'too_few_announcements') THEN reason WHEN CASE WHEN p_asn + p2 > 0 THEN (p_asn - p2) / (p_asn + p2) ELSE 0 END < 0.04 THEN 'cross_asn_ambiguous' END AS abstain_reason
     FROM ta JOIN ct USING (txid) LEFT JOIN short USING (txid) JOIN flags USING (txid))"""
 FSIDES = """fsides AS (SELECT txid, first_seen_us, total_out_sats AS sats, fee_rate_sat_vb, has_equal_outputs, is_coinbase, address, side FROM (
     SELECT *, unnest(input_addresses) AS address, 'in' AS side FROM tx UNION ALL SELECT *, unnest(output_addresses), 'out' FROM tx) WHERE address IS NOT NULL)"""

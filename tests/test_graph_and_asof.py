@@ -113,7 +113,7 @@ def test_finalise_rules(spark):
     rows = [
         ("tie", "a", 1, 0, 0, 0.3, False, 3, 5), ("tie", "b", 2, 0, 0, 0.3, False, 3, 5),
         ("over", "a", 3, 0, 0, 0.9, False, 3, 5), ("over", "b", 4, 0, 0, 0.3, False, 3, 5),
-        ("tor", "a", 5, 0, 0, 0.4, True, 1, 1), ("one", "a", 6, 0, 0, 0.4, False, 1, 1), ("few", "a", 7, 0, 0, 0.4, False, 2, 2), ("alone", "a", 8, 0, 0, 0.4, False, 2, 9),
+        ("tor", "a", 5, 0, 0, 0.4, True, 1, 1), ("one", "a", 6, 0, 0, 0.4, False, 1, 1), ("few", "a", 7, 0, 0, 0.4, False, 2, 1), ("alone", "a", 8, 0, 0, 0.4, False, 2, 9),
     ]
     got = {(r["txid"], r["peer_ip"]): r for r in finalise(spark.createDataFrame(rows, CAND), "x").collect()}
     reason = {k[0]: r["abstain_reason"] for k, r in got.items()}
