@@ -207,8 +207,8 @@ def total_in_sats(sealed: DataFrame, observers: DataFrame, amounts: str = "outpu
     """(row_id, total) of every row all of whose amounts can be read.
 
     The unit of a token comes from the token, else the observer's unit column,
-    else its note, else the observer's bare numbers (any fraction: bitcoin, else
-    satoshi). A unit text in the token that names no unit makes it unreadable.
+    else its note, else the observer's bare numbers (fractions, if no fewer than
+    whole ones: bitcoin, else satoshi). A unit text in the token that names no unit makes it unreadable.
     Rows with a null list, a null or an unreadable amount are left out; an empty
     list totals 0. Repeated rows (other row_id) keep one output row each; an
     unknown or null observer is judged by its bare numbers; repeated observers
@@ -218,15 +218,17 @@ def total_in_sats(sealed: DataFrame, observers: DataFrame, amounts: str = "outpu
     tokens = split_tokens(exploded).select("row_id", "observer_id", "_n", "number", "unit")
 
     # one pass over the tokens gives the distinct spellings and the observers' habits, both combined map-side
-    bare = (F.col("unit") == "") & F.col("number").isNotNull()
-    fraction = bare & F.col("number").rlike(r"[.,]")
+    bare = F.coalesce(F.col("unit") == "", F.lit(False))
+    # only numbers of a plain shape tell a habit: 12.3.4 is neither whole nor a fraction
+    fraction = bare & F.col("number").rlike(r"^[0-9]*([.][0-9]+|,([0-9]{1,2}|[0-9]{4,}))([eE][+\-]?[0-9]{1,2})?$")
+    whole = bare & F.col("number").rlike(rf"^[0-9]+$|^[0-9]{{1,3}}(({GROUP}|,)[0-9]{{3}})+$")
     # filtered only after writing: a filter on the unit would pull a second copy of the parsing below the aggregate
-    facts = durable(tokens.groupBy("observer_id", "unit").agg(F.max(F.coalesce(fraction, F.lit(False))).alias("fraction")), "unit-facts").where(F.col("unit").isNotNull())
+    facts = durable(tokens.groupBy("observer_id", "unit").agg(F.count_if(fraction).alias("fractions"), F.count_if(whole).alias("wholes")), "unit-facts").where(F.col("unit").isNotNull())
     observers = observers.where(F.col("observer_id").isNotNull()).groupBy("observer_id").agg(F.min("amount_unit").alias("amount_unit"), F.min("note").alias("note"))
     own = observers.select("observer_id", fold_unit(F.col("amount_unit")).alias("spelling"))
     words = note_words(observers)
     aliases = durable(alias_dictionary(facts.select(F.col("unit").alias("spelling")).union(own.select("spelling")).union(words.select("spelling"))), "unit-aliases")
-    habits = facts.where(F.col("unit") == "").select("observer_id", F.when(F.col("fraction"), 100_000_000).otherwise(1).cast("long").alias("habit_sats"))
+    habits = facts.where(F.col("unit") == "").select("observer_id", F.when((F.col("fractions") > 0) & (F.col("fractions") >= F.col("wholes")), 100_000_000).otherwise(1).cast("long").alias("habit_sats"))
     told = own.join(aliases, "spelling", "left").select("observer_id", F.col("sats").alias("own_sats")).join(note_units(words, aliases), "observer_id", "left")
     known = facts.select("observer_id").distinct()
     defaults = (

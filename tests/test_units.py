@@ -9,7 +9,7 @@ OBSERVERS = [
 ]
 CASES = [
     ("sat", ["5"], 5), ("sat", ["5", "7"], 12), ("btc", ["0.00000001"], 1), ("btc", ["1"], 100_000_000), ("note-milli", ["1.5"], 150_000), ("note-micro", ["2"], 200), ("note-sat", ["9"], 9), ("note-btc", ["2.5"], 250_000_000),
-    ("whole", ["41"], 41), ("fraction", ["0.5"], 50_000_000), ("typo", ["3"], 3), ("typo2", ["1"], 100_000),
+    ("whole", ["41"], 41), ("whole", ["12.3.4"], None), ("whole", ["7"], 7), ("fraction", ["12.3.4"], None), ("fraction", ["0.5"], 50_000_000), ("typo", ["3"], 3), ("typo2", ["1"], 100_000),
     ("sat", ["0.5 BTC"], 50_000_000), ("sat", ["₿0.1"], 10_000_000), ("sat", ["XBT 0.2"], 20_000_000), ("sat", ["2.5 ksat"], 2_500), ("btc", ["3 bits"], 300), ("btc", ["2,354.17 bits"], 235_417), ("sat", ["1.5 µBTC"], 150), ("sat", ["1.5 μBTC"], 150),
     ("btc", ["5 260 956 sat"], 5_260_956), ("btc", ["793'869 sat"], 793_869), ("btc", ["5 260 sats"], 5_260), ("btc", ["958,208 sat"], 958_208), ("sat", ["0,02943149 BTC"], 2_943_149), ("sat", ["5.329851000e-02 BTC"], 5_329_851),
     ("sat", [" 7 Satoshis "], 7), ("sat", ["1.0000000000000000 BTC"], 100_000_000), ("sat", [], 0),
