@@ -1,4 +1,4 @@
-"""Evaluation texts inside a corpus (problem 9), by latent semantic retrieval.
+"""Evaluation texts inside a corpus (problem 9): latent semantic retrieval of runs, exact search of paraphrases.
 
 Passages are runs of ``WIDTH`` words. Terms are weighted by TF-IDF over all
 passages of the corpus, a randomised singular value decomposition, computed in
@@ -6,7 +6,8 @@ distributed passes, gives every term a latent vector, and a passage is the sum o
 its terms' vectors. Vectors are whole numbers (fixed point), so equal passages
 have equal latent vectors on any machine and in any order of summation. Candidates
 are passages whose latent sign patterns agree and whose cosine is high; they are
-verified by the longest common run or subsequence of words, and by the answer.
+verified by the common run of words. Paraphrases need no latent vectors: a passage
+is met by its rarest words, and verified by the longest common subsequence of words.
 """
 
 from __future__ import annotations
@@ -31,12 +32,10 @@ RANK, EXTRA, POWER = 24, 8, 1
 SCALE = 1 << 16
 # Items whose passages form one block of queries; more items take more blocks.
 BLOCK_ITEMS = 20_000
-# Latent signs that a paraphrase must share in at least one of RANK / BITS tables.
-BITS = 8
 # Cosine from which a candidate passage goes to verification.
-EXACT_COSINE, NEAR_COSINE = 0.999, 0.85
-# A paraphrase shares this part of a passage pair as a common subsequence.
-NEAR_SHARE = 0.8
+EXACT_COSINE = 0.999
+# A paraphrase shares this many words of an item passage, in order, with a run of SPAN words of the document.
+NEED, SPAN = 8, 2 * WIDTH
 
 
 # Runs of letters and digits: word characters without the underscore.
@@ -216,21 +215,31 @@ def _codes(vectors: np.ndarray, bits: range) -> np.ndarray:
     return code
 
 
-def common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of the rows of two matrices.
+def match_masks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row and column of ``b`` the columns of ``a`` (at most 30) that hold its value, as bits."""
+    masks = np.zeros(b.shape, np.int32)
+    for k in range(a.shape[1]):
+        masks |= (b == a[:, k : k + 1]).astype(np.int32) << np.int32(k)
+    return masks
+
 
-    Bit-parallel: the rows of ``a`` (at most 60 columns) are the bits of one
-    number, which every column of ``b`` updates for all rows at once.
+def masked_subsequences(masks: np.ndarray, width: int) -> np.ndarray:
+    """Lengths of the longest common subsequences that the masks of ``width`` columns allow.
+
+    Bit-parallel: the columns of the first side are the bits of one number, which
+    every mask updates for all rows at once.
     """
-    width = a.shape[1]
-    ones = np.int64((1 << width) - 1)
-    weights = np.int64(1) << np.arange(width, dtype=np.int64)
-    state = np.full(len(a), ones, np.int64)
-    for j in range(b.shape[1]):
-        match = ((a == b[:, j : j + 1]) * weights).sum(axis=1)
-        used = state & match
+    ones = np.int32((1 << width) - 1)
+    state = np.full(len(masks), ones, np.int32)
+    for j in range(masks.shape[1]):
+        used = state & masks[:, j]
         state = ((state + used) | (state - used)) & ones
-    return width - np.array([bin(x).count("1") for x in state.tolist()], np.int64)
+    return width - np.bitwise_count(state).astype(np.int64)
+
+
+def common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of the rows of two matrices; ``a`` has at most 30 columns."""
+    return masked_subsequences(match_masks(a, b), a.shape[1])
 
 
 def _exact_search(corpus: DataFrame, block: Items, latent: np.ndarray) -> DataFrame:
@@ -285,85 +294,82 @@ def _exact_search(corpus: DataFrame, block: Items, latent: np.ndarray) -> DataFr
     return corpus.mapInArrow(search, "doc_id long, item_id long").distinct()
 
 
-def _near_search(corpus: DataFrame, block: Items, latent: np.ndarray) -> DataFrame:
-    """Paraphrased passages: doc_id, item_id, score, answered."""
-    rank = latent.shape[1]
-    # every item passage is indexed, so a document passage at any offset has an aligned counterpart
-    stride, ids = block.starts, block.item_ids
-    vectors = _window_vectors(block.terms, stride, latent)
-    tables = [range(t * BITS, min(rank, t * BITS + BITS)) for t in range(max(1, rank // BITS))]
-    orders = [np.argsort(_codes(vectors, t), kind="stable") for t in tables]
+def _best(doc: np.ndarray, item: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The largest length of every (doc, item)."""
+    order = np.lexsort((-length, item, doc))
+    doc, item, length = doc[order], item[order], length[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(doc) else order
+    return doc[first], item[first], length[first]
+
+
+def _near_search(corpus: DataFrame, block: Items, frequency: np.ndarray) -> DataFrame:
+    """Paraphrased passages: doc_id, item_id, score, answered.
+
+    A passage that shares NEED of its words in order misses at most WIDTH - NEED of
+    them, so one of its WIDTH - NEED + 1 rarest words is among the shared ones: every
+    occurrence of such a word in a document is a candidate, and no pair is lost.
+    """
+    anchors = WIDTH - NEED + 1
+    passages = block.terms[block.starts[:, None] + np.arange(WIDTH)]
+    rarest = np.argsort(frequency[passages], axis=1, kind="stable")[:, :anchors]
+    keys = np.unique(np.stack([np.take_along_axis(passages, rarest, 1).ravel().astype(np.int64), np.repeat(np.arange(len(passages)), anchors)], axis=1), axis=0)
+    bounds = np.searchsorted(keys[:, 0], np.arange(len(frequency) + 1))
     answers = {k: sorted(set(v)) for k, v in block.answers.items() if v}
-    shared = corpus.sparkSession.sparkContext.broadcast((vectors, stride, ids, block.terms, answers, latent, [(_codes(vectors, t)[o], o) for t, o in zip(tables, orders, strict=True)]))
+    shared = corpus.sparkSession.sparkContext.broadcast((passages, block.item_ids, bounds, keys[:, 1].astype(np.int32), answers))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items_v, items_at, items_id, items_t, answers, lat, indexes = shared.value
-        norms = np.linalg.norm(items_v.astype(np.float64), axis=1)
-        padded = np.vstack([lat, np.zeros((1, rank), lat.dtype)])  # words of no item add nothing
-        run = np.arange(WIDTH)
-        reach = np.arange(-(WIDTH // 2), WIDTH + WIDTH // 2)
+        passages, items_id, bounds, listed, answers = shared.value
+        many_of = np.diff(bounds)
+        reach = np.arange(1 - SPAN, SPAN)
         for batch in batches:
             terms, doc = _flat(batch)
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            if len(terms) < WIDTH:
+            if not len(terms):
                 continue
             first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             length = np.diff(np.r_[first, len(terms)])
-            # every fifth passage of a document and its last one
-            inside = np.arange(len(terms)) - np.repeat(first, length)
-            left = np.repeat(length, length) - inside
-            known = np.cumsum(np.r_[0, terms >= 0])
-            starts = np.flatnonzero((left >= WIDTH) & ((inside % (WIDTH // 2) == 0) | (left == WIDTH)))
-            starts = starts[known[starts + WIDTH] - known[starts] >= NEAR_SHARE * WIDTH]
-            best: dict[tuple[int, int], float] = {}
-            for at in range(0, len(starts), 50_000):
-                s = starts[at : at + 50_000]
-                v = _window_vectors(terms, s, padded).astype(np.float64)
-                size = np.linalg.norm(v, axis=1)
-                for (keys, order), bits in zip(indexes, tables, strict=True):
-                    c = _codes(v, bits)
-                    lo, hi = np.searchsorted(keys, c, "left"), np.searchsorted(keys, c, "right")
-                    hit = np.flatnonzero(hi > lo)
-                    many = (hi - lo)[hit]
-                    ends = np.cumsum(many)
-                    cut = 0
-                    while cut < len(hit):  # some 500,000 candidate pairs alive at once
-                        base = ends[cut - 1] if cut else 0
-                        stop = max(cut + 1, int(np.searchsorted(ends, base + 500_000, "right")))
-                        h, m = hit[cut:stop], many[cut:stop]
-                        cut = stop
-                        q = np.repeat(h, m)
-                        k = order[np.repeat(lo[h], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-                        cosine = np.einsum("ij,ij->i", v[q], items_v[k]) / np.maximum(size[q] * norms[k], 1e-9)
-                        near = cosine >= NEAR_COSINE
-                        q, k = q[near], k[near]
-                        if not len(q):
-                            continue
-                        where = s[q][:, None] + reach
-                        ok = (where >= 0) & (where < len(terms))
-                        where = np.clip(where, 0, len(terms) - 1)
-                        around = np.where(ok & (doc[where] == doc[s[q]][:, None]), terms[where], -1)
-                        shares = common_subsequences(items_t[items_at[k][:, None] + run], around) / WIDTH
-                        good = shares >= NEAR_SHARE
-                        for d, i, x in zip(doc[s[q[good]]].tolist(), items_id[k[good]].tolist(), shares[good].tolist(), strict=True):
-                            if x > best.get((d, i), 0.0):
-                                best[d, i] = x
-            if not best:
+            begin, end = np.repeat(first, length), np.repeat(first + length, length)
+            at = np.flatnonzero(terms >= 0)
+            at = at[many_of[terms[at]] > 0]
+            many = many_of[terms[at]]
+            ends = np.cumsum(many)
+            total = int(ends[-1]) if len(ends) else 0
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for lo in range(0, total, 20_000):  # bounds the candidate pairs alive at once
+                n = np.arange(lo, min(total, lo + 20_000))
+                word = np.searchsorted(ends, n, "right")
+                p = at[word]
+                k = listed[bounds[terms[p]] + n - (ends[word] - many[word])]
+                where = p[:, None] + reach
+                ok = (where >= begin[p][:, None]) & (where < end[p][:, None])
+                around = np.where(ok, terms[np.clip(where, 0, len(terms) - 1)], -1)
+                masks = match_masks(passages[k], around)
+                # what the words allow in any order, then in order over all windows around the word, then in each window
+                may = np.flatnonzero(np.bitwise_count(np.bitwise_or.reduce(masks, axis=1)) >= NEED)
+                may = may[masked_subsequences(masks[may], WIDTH) >= NEED]
+                if not len(may):
+                    continue
+                shares = np.zeros(len(may), np.int64)
+                for o in range(SPAN):
+                    shares = np.maximum(shares, masked_subsequences(masks[may, o : o + SPAN], WIDTH))
+                good = shares >= NEED
+                may = may[good]
+                found = (doc[p[may]], items_id[k[may]], shares[good])
+                best = _best(*(np.concatenate(x) for x in zip(best, found, strict=True)))
+            if not len(best[0]):
                 continue
+            spans = dict(zip(doc[first].tolist(), zip(first.tolist(), (first + length).tolist(), strict=True), strict=True))
             answered = []
-            begin = dict(zip(doc[first].tolist(), zip(first.tolist(), (first + length).tolist(), strict=True), strict=True))
-            for d, i in best:
-                lo_, hi_ = begin[d]
+            for d, i in zip(best[0].tolist(), best[1].tolist(), strict=True):
+                lo_, hi_ = spans[d]
                 answered.append(i in answers and bool(np.isin(answers[i], terms[lo_:hi_]).all()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids[[d for d, _ in best]]), pa.array([i for _, i in best], pa.int64()), pa.array(list(best.values()), pa.float64()), pa.array(answered, pa.bool_())], names=["doc_id", "item_id", "score", "answered"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[best[0]]), pa.array(best[1]), pa.array(best[2] / WIDTH), pa.array(answered, pa.bool_())], names=["doc_id", "item_id", "score", "answered"])
 
     found = corpus.mapInArrow(search, "doc_id long, item_id long, score double, answered boolean")
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.bool_or("answered").alias("answered"))
 
 
-def _run(documents: DataFrame, items: DataFrame, search, schema: str, id_col: str, text_col: str) -> DataFrame:
+def _run(documents: DataFrame, items: DataFrame, statistics, search, schema: str, id_col: str, text_col: str) -> DataFrame:
     spark: SparkSession = documents.sparkSession
     asked = items.where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "item_text", "answer")
     out: DataFrame | None = None
@@ -380,7 +386,7 @@ def _run(documents: DataFrame, items: DataFrame, search, schema: str, id_col: st
         if not len(loaded.starts):
             return out if out is not None else spark.createDataFrame([], schema)
         corpus = corpus_terms(documents, vocabulary, id_col, text_col)
-        found = search(corpus, loaded, latent_terms(corpus, len(vocabulary)))
+        found = search(corpus, loaded, statistics(corpus, len(vocabulary)))
         return found if out is None else out.unionByName(found)
 
     # the stated query set, in blocks: a block bounds what is broadcast at once
@@ -398,16 +404,16 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     documents are reported each; repeated item ids are searched as one item.
     Empty tables give no rows. Extra columns are ignored.
     """
-    return _run(documents, items, _exact_search, "doc_id long, item_id long", id_col, text_col).distinct()
+    return _run(documents, items, latent_terms, _exact_search, "doc_id long, item_id long", id_col, text_col).distinct()
 
 
 def paraphrases(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, answered): passages that share most of an item passage in order.
 
     score is the largest share of a ten-word item passage that is a common
-    subsequence with a document passage found near it in the latent space
-    (at least NEAR_SHARE); answered tells whether the document holds all words of
+    subsequence with some run of SPAN words of the document (at least NEED of the
+    ten words; the search is exact); answered tells whether the document holds all words of
     the item's answer. Rules for nulls and empty tables as in :func:`leaks`.
     """
-    found = _run(documents, items, _near_search, "doc_id long, item_id long, score double, answered boolean", id_col, text_col)
+    found = _run(documents, items, lambda corpus, size: document_frequencies(corpus, size)[0], _near_search, "doc_id long, item_id long, score double, answered boolean", id_col, text_col)
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.bool_or("answered").alias("answered"))

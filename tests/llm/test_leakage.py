@@ -78,3 +78,50 @@ def test_subsequences():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 6, (200, 10)), rng.integers(0, 6, (200, 20))
     assert common_subsequences(a, b).tolist() == [slow_subsequence(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def edited_corpus(seed):
+    """Documents with runs of 8 to 14 words of items, some words of them changed or inserted."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, "s", " ".join(say(rng.choice([9, 10, 14, 60]))), rng.choice([None, "w1"]), "") for i in range(40)]
+    docs = []
+    for d in range(300):
+        item = items[rng.randrange(40)][2].split()
+        n = rng.choice([8, 10, 11, 13, 14])
+        start = rng.randrange(max(1, len(item) - n + 1))
+        run = item[start : start + n]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(run))
+            run[at : at + rng.randrange(2)] = [rng.choice(vocabulary)]
+        docs.append((d, " ".join(say(rng.randrange(23)) + run + say(rng.randrange(23))), ""))
+    return docs, items
+
+
+def slow_paraphrases(docs, items):
+    out = {}
+    for doc, text, *_ in docs:
+        w = words(text)
+        for item, _, told, *_ in items:
+            t = words(told)
+            for k in range(len(t) - WIDTH + 1):
+                passage = t[k : k + WIDTH]
+                if len(set(passage) & set(w)) < 4:
+                    continue
+                best = max(slow_subsequence(passage, w[at : at + 2 * WIDTH]) for at in range(max(1, len(w) - 2 * WIDTH + 1)))
+                if best >= 8:
+                    out[doc, item] = max(best / WIDTH, out.get((doc, item), 0.0))
+    return out
+
+
+def test_paraphrases_against_brute_force(spark):
+    docs, items = edited_corpus(4)
+    items.append((90, "s", "it is as it was and as it is now it is", "now", ""))
+    docs += [(900, "so it was as it is and as it is now", ""), (901, "it was as it is and it is", ""), (902, None, ""), (903, items[3][2], ""), (903, items[3][2] + " w1", "")]
+    want = slow_paraphrases(docs, items)
+    got = paraphrases(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert len(want) > 150 and len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
+    # whatever holds a whole passage is a paraphrase too
+    assert brute([d for d in docs if d[1]], items) <= set(want)
