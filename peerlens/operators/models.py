@@ -90,6 +90,43 @@ def contributions(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.full(n, bias), out
 
 
+def _risk(model: dict, margin: np.ndarray) -> np.ndarray:
+    """Probability of a margin: by the model's Platt line if it has one, else the booster's own logistic."""
+    slope, intercept = model.get("platt", (2.0, 0.0))
+    return 1 / (1 + np.exp(-(slope * margin + intercept)))
+
+
+def with_risk(df: DataFrame, model: dict, out: str) -> DataFrame:
+    """All rows and columns with the probability by a frozen model; null and NaN features count as 0."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(*columns: pd.Series) -> pd.Series:
+        x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=float) for c in columns]), nan=0.0)
+        bias, parts = contributions(shared.value, x)
+        return pd.Series(_risk(shared.value, bias + parts.sum(axis=1)))
+
+    return df.withColumn(out, run(*[F.col(f).cast("double") for f in model["features"]]))
+
+
+def with_platt(model: dict, cal: DataFrame, label: str, least_rows: int = 50) -> dict:
+    """The model with a Platt line, a logistic regression of the label on the margin.
+
+    Rows without a label do not count. Below ``least_rows`` rows, or with one
+    class, the model stays uncalibrated.
+    """
+    from pyspark.ml.classification import LogisticRegression
+
+    known = cal.where(F.col(label).isNotNull())
+    n, classes = known.agg(F.count(F.lit(1)), F.count_distinct(F.col(label).cast("int"))).first()
+    if n < least_rows or classes < 2:
+        return model
+    risk = F.col("_risk")  # of the plain model, so the margin is half its log-odds
+    margins = with_risk(known, {k: v for k, v in model.items() if k != "platt"}, "_risk").select(F.col(label).cast("double").alias("_y"), (F.log(risk / (1 - risk)) / 2).alias("_margin"))
+    fit = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / n, standardization=False, maxIter=1000).fit(_matrix(margins, ["_margin"]))
+    return {**model, "platt": [float(fit.coefficients[0]), float(fit.intercept)]}
+
+
 def score(df: DataFrame, model: dict, id_col: str, top: int = 5, expected_digest: str | None = None) -> DataFrame:
     """(id, margin, risk, top_features) of every row by a frozen model.
 
@@ -110,7 +147,7 @@ def score(df: DataFrame, model: dict, id_col: str, top: int = 5, expected_digest
             margin = bias + parts.sum(axis=1)
             order = np.argsort(-np.abs(np.round(parts, 6)), axis=1, kind="stable")[:, :top]
             best = [[{"name": features[j], "value": round(float(row[j]), 6)} for j in sorted(o, key=lambda j: (-abs(round(row[j], 6)), features[j]))] for row, o in zip(parts, order, strict=True)]
-            yield pd.DataFrame({id_col: frame[id_col], "margin": margin, "risk": 1 / (1 + np.exp(-2 * margin)), "top_features": best})
+            yield pd.DataFrame({id_col: frame[id_col], "margin": margin, "risk": _risk(frozen, margin), "top_features": best})
 
     slim = df.select(id_col, *[F.col(f).cast("double").alias(f) for f in features])
     return slim.mapInPandas(run, f"`{id_col}` {id_type}, margin double, risk double, top_features array<struct<name: string, value: double>>")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peerlens.functions import text
-from peerlens.operators import generate, models, normalise, origin
+from peerlens.operators import evaluate, generate, models, normalise, origin
 from peerlens.plans import base, network, scoring
 from peerlens.runtime import durable, table
 
@@ -38,24 +38,31 @@ def ftr08_script_types(spark: SparkSession, root: str) -> DataFrame:
     return network.subjects(spark, root).join(active, "address", "left_semi").groupBy("subject_id").agg((F.count_distinct(kind) + F.max(kind.isNull().cast("int"))).cast("long").alias("n_script_types"))
 
 
+ORIGIN_FEATURES = [
+    "delta_first_us", "rank_in_tx", "n_announcements", "n_observers_seen", "n_observers_blind", "peer_frac_rank_one", "peer_n_txids", "peer_degree", "announce_spread_us",
+    "payer_shared", "n_candidates", "net_class_code", "is_tor_exit", "is_hosting", "mle_logscore",
+]
+
+
 @query()
 def org09_trained_ensemble(spark: SparkSession, root: str) -> DataFrame:
-    """The ensemble trained on the earlier part of a labelled world, and applied to all its candidates.
+    """All candidates of the table by an ensemble that was trained and calibrated on a labelled world.
 
-    The world is generated here, as the tables carry no truth for their own announcements.
+    The world is generated here, as the tables carry no truth for their own announcements: the trees
+    see its first three quarters by time, the Platt line the last one.
     """
     world = durable(generate.announcements(spark, 150, peers=40, observers=4), "world")
     ann = normalise.announcements(generate.as_sealed(world))
     none = spark.createDataFrame([], "peer_ip string, v_asn int, v_as_org string, v_net_class string, v_geo_country string")
-    cand = origin.with_likelihood(origin.candidates(ann, normalise.peers(ann, none)), ann, 2_000_000.0)
+    known = origin.with_likelihood(origin.candidates(ann, normalise.peers(ann, none)), ann, 2_000_000.0)
     truth = world.select("txid", "true_peer").distinct()
-    rows = durable(cand.join(truth, "txid").withColumn("y", F.col("peer_ip") == F.col("true_peer")), "labelled-candidates")
-    features = ["delta_first_us", "rank_in_tx", "n_announcements", "n_observers_seen", "announce_spread_us", "peer_frac_rank_one", "peer_n_txids", "n_observers_blind", "mle_logscore"]
-    cut = rows.agg(F.percentile("seen_us", 0.75)).first()[0]
-    model = models.train_trees(rows.where(F.col("seen_us") < cut), features, "y", trees=10, depth=3)
-    scored = models.score(rows.withColumn("key", F.concat_ws(" ", "txid", "peer_ip")), model, "key").select("key", F.col("risk").alias("p_origin"))
-    joined = cand.withColumn("key", F.concat_ws(" ", "txid", "peer_ip")).join(scored, "key").drop("key")
-    out = origin.finalise(joined, "ensemble")
+    rows = durable(known.join(truth, "txid").withColumn("y", F.col("peer_ip") == F.col("true_peer")), "labelled-candidates")
+    parts = durable(evaluate.split_by_time(rows, ["seen_us", "row_id"], 0.75), "ensemble-parts")
+    model = models.train_trees(parts.where("part = 'train'"), ORIGIN_FEATURES, "y", trees=10, depth=3)
+    model = models.with_platt(model, parts.where("part = 'rest'"), "y")
+    # the windows of the ending must not evaluate the trees again
+    scored = durable(models.with_risk(scoring.candidates(spark, root), model, "p_origin"), "ensemble-scores")
+    out = origin.finalise(scored, "ensemble")
     return out.select("txid", "peer_ip", F.round("p_origin", 6).alias("p_origin"), "rank", "abstain", "abstain_reason")
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from peerlens.operators import evidence
-from peerlens.operators.models import contributions, digest, embeddings, score, train_and_score, train_trees
+from peerlens.operators.models import contributions, digest, embeddings, score, train_and_score, train_trees, with_platt, with_risk
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,26 @@ def test_contributions_sum_to_the_margin(spark, data):
         score(data, model, "id", expected_digest="other")
 
 
+def test_platt_line(spark, data):
+    model = train_trees(data.where("id < 300"), ["a", "b", "c"], "y", trees=5)
+    held = data.where("id >= 300")
+    lined = with_platt(model, held, "y")
+    frame = held.orderBy("id").toPandas()
+    bias, parts = contributions(model, np.nan_to_num(frame[["a", "b", "c"]].to_numpy(dtype=float)))
+    m, y = bias + parts.sum(axis=1), frame["y"].to_numpy(dtype=float)
+    w = np.zeros(2)  # Newton steps on the same penalised likelihood
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(w[0] * m + w[1])))
+        g = np.array([((p - y) * m).sum() + w[0], (p - y).sum()])
+        q = p * (1 - p)
+        w -= np.linalg.solve(np.array([[(q * m * m).sum() + 1, (q * m).sum()], [(q * m).sum(), q.sum()]]), g)
+    assert np.allclose(lined["platt"], w, atol=1e-3)
+    got = with_risk(held, lined, "p").orderBy("id").toPandas()
+    assert np.allclose(got["p"], 1 / (1 + np.exp(-(lined["platt"][0] * m + lined["platt"][1]))), atol=1e-9)
+    assert np.allclose(score(held, lined, "id").orderBy("id").toPandas()["risk"], got["p"], atol=1e-9)
+    assert digest(lined) != digest(model) and "platt" not in with_platt(model, held.limit(49), "y") and "platt" not in with_platt(model, held.where("y"), "y")
+
+
 def test_sets(spark, data):
     out = train_and_score(data, ["a", "b", "c"], "y", "id", "t")
     assert out.count() == 400
