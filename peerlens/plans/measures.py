@@ -116,11 +116,21 @@ def mdl02_conformal_sets(spark: SparkSession, root: str) -> DataFrame:
     return out.select("id", "label", F.round("conf_low", 6).alias("conf_low"), F.round("conf_high", 6).alias("conf_high"))
 
 
+def _calibrated(spark: SparkSession, root: str) -> DataFrame:
+    """All scored rows with sets; ``is_calibration`` marks the rows that the quantiles come from, which is every labelled one with a score."""
+    p = scored(spark, root).withColumn("q", (F.col("score") + 1) / 2).withColumn("is_calibration", F.col("y").isNotNull() & F.col("q").isNotNull())
+    return evaluate.conformal_sets(p, "q", evaluate.conformal_quantiles(p.where("is_calibration"), "q", "y"))
+
+
+@query()
+def mdl02_all_sets(spark: SparkSession, root: str) -> DataFrame:
+    """A set, label and band for every embedding; ``mdl02_conformal_sets`` is held to odd ids by its twin."""
+    return _calibrated(spark, root).select("id", "is_calibration", "label", F.round("conf_low", 6).alias("conf_low"), F.round("conf_high", 6).alias("conf_high"))
+
+
 @query()
 def mdl06_coverage(spark: SparkSession, root: str) -> DataFrame:
-    p = scored(spark, root).withColumn("q", (F.col("score") + 1) / 2)
-    cal = p.where("id % 2 = 0")
-    return evaluate.coverage(evaluate.conformal_sets(cal, "q", evaluate.conformal_quantiles(cal, "q", "y")), "y")
+    return evaluate.coverage(_calibrated(spark, root).where("is_calibration"), "y")
 
 
 # Risk of a subject here: the share of its sends that were refused an origin, plus its typologies.
