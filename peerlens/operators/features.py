@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from peerlens.functions.arrays import paired
 from peerlens.functions.stats import distinct_with_null, truncated_median
 from peerlens.operators.asof import asof_join
+from peerlens.runtime import durable
 
 # The round sums under which amounts are kept by structuring, in satoshis.
 LADDER = (100_000, 1_000_000, 10_000_000, 100_000_000)
@@ -173,6 +174,39 @@ def pooled(context: DataFrame, links: DataFrame, values: list[str], prefix: str)
     return rows.groupBy("subject_id").agg(*aggs)
 
 
+def relational(tx: DataFrame, members: DataFrame, ann: DataFrame, peers: DataFrame, local: DataFrame, class_codes: dict[str, int]) -> DataFrame:
+    """FTR-16: 329 values per subject of ``local``, whose other columns are the subject's own values.
+
+    The context of a transaction is its own six values, the mean of nine values of its
+    announcers and the mean of the own values of the subjects that fund it. It is
+    pooled through the received and the spent side; a subject without links on a side
+    has zeros there. Transactions and announcements need an instant. Values are
+    signed logs, before any frozen scaling.
+    """
+    own = [c for c in local.columns if c != "subject_id"]
+    of_tx, n_classes = ["n_in", "n_out", "total_out_sats", "fee_sats", "fee_rate_sat_vb", "has_equal_outputs"], 6
+    of_peer = ["observations", "transactions", "observers", *[f"class_{i}" for i in range(n_classes)]]
+    timed = tx.where("first_seen_us is not null")
+    values = timed.groupBy("txid").agg(*[F.max(F.log1p(F.greatest(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)))).alias(c) for c in of_tx])
+    seen = ann.where("seen_us is not null").join(values.select("txid"), "txid")
+    code = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in class_codes.items() for x in kv]), F.col("net_class")), F.lit(0))
+    counts = seen.groupBy("peer_ip").agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("txid").alias("transactions"), F.count_distinct("observer_ip").alias("observers"))
+    announcers = counts.join(peers.select("peer_ip", "net_class"), "peer_ip", "left").select(
+        "peer_ip", *[F.log1p(F.col(c).cast("double")).alias(c) for c in of_peer[:3]], *[(code == i).cast("double").alias(f"class_{i}") for i in range(n_classes)])
+    heard = seen.select("peer_ip", "txid").distinct().join(announcers, "peer_ip").groupBy("txid").agg(*[F.avg(c).alias(f"announcer_mean_{c}") for c in of_peer])
+    logs = local.select("subject_id", *[signed_log(F.col(c)).alias(c) for c in own])
+
+    def links(column: str) -> DataFrame:
+        return timed.select("txid", F.explode(column).alias("address")).join(members, "address").select("subject_id", "txid").distinct().join(logs.select("subject_id"), "subject_id")
+
+    funds, receives = links("input_addresses"), links("output_addresses")
+    funded = funds.join(logs, "subject_id").groupBy("txid").agg(*[F.avg(c).alias(f"funder_mean_{c}") for c in own])
+    context = durable(values.join(heard, "txid", "left").join(funded, "txid", "left").fillna(0.0), "context")
+    fields = [c for c in context.columns if c != "txid"]
+    sides = [pooled(context, receives, fields, "received"), pooled(context, funds, fields, "spent")]
+    return logs.join(sides[0], "subject_id", "left").join(sides[1], "subject_id", "left").fillna(0.0)
+
+
 def signed_log(value):
     """Sign of a value times log1p of its size; null and NaN count as 0."""
     x = F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peerlens.functions import text
 from peerlens.operators import features, origin, typology
 from peerlens.plans import base, network
+from peerlens.runtime import durable
 
 RELAY_US = 2_000_000.0
 BOUNDARY_US = 1_750_000_000_000_000
@@ -140,6 +142,20 @@ def ftr16_pooled(spark: SparkSession, root: str) -> DataFrame:
     return _round(features.pooled(tx, _pairs(spark, root), ["n_out", "fee_rate_sat_vb"], "spent"), 5)
 
 
+def ftr16_relational(spark: SparkSession, root: str) -> DataFrame:
+    """The whole of FTR-16 for every active subject, over all instants; ``ftr16_pooled`` is the part that its twin fixes."""
+    tx, members, a = base.tx(spark, root).where("first_seen_us is not null"), network.subjects(spark, root), base.ann(spark, root)
+    rows = durable(features.tx_sides(tx).join(members, "address"), "subject-rows")
+    pairs, active = rows.where("side = 'in'").select("subject_id", "txid").distinct(), rows.select("address")
+    kind = text.script_type(F.col("address"))
+    kinds = rows.groupBy("subject_id").agg((F.count_distinct(kind) + F.max(kind.isNull().cast("int"))).alias("n_script_types"))
+    local = features.activity(rows).select("subject_id", "n_tx_sent", "n_tx_received", "n_coinbase_received")
+    for block in (features.flows(tx, members), features.max_fan_out(rows), features.dwell(rows), features.cluster_shape(base.claims(spark, root), members, active), kinds, features.morphology(tx, pairs)):
+        local = local.join(block, "subject_id", "left")
+    local = durable(local, "subject-values")
+    return _round(features.relational(tx, members, a, base.peers(spark, root), local, origin.CLASS_CODES), 5)
+
+
 def ftr17_signed_log(spark: SparkSession, root: str) -> DataFrame:
     f = features.flows(base.tx(spark, root), network.subjects(spark, root))
     return _round(f.select("subject_id", features.signed_log(F.col("balance_sats")).alias("balance_log"), features.signed_log(F.col("mean_sent_sats")).alias("mean_sent_log")))
@@ -148,7 +164,7 @@ def ftr17_signed_log(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     org02_payer_links, org03_candidates, org04_likelihood, org06_timing_mle, org07_first_spy, org09_fallback_ensemble, org10_operator_rollup, org11_causal_candidates,
     ftr01_sides, ftr02_windows, ftr03_activity, ftr04_counterparties, ftr05_max_fan_out, ftr06_dwell, ftr07_cluster_shape, ftr09_origin_fusion, ftr10_operator_fusion, ftr11_typology_load,
-    ftr12_morphology, ftr13_subject_table, ftr15_flows, ftr16_pooled, ftr17_signed_log,
+    ftr12_morphology, ftr13_subject_table, ftr15_flows, ftr16_pooled, ftr16_relational, ftr17_signed_log,
 )}
 
 PAYER = """payer AS (SELECT txid, input_addresses[1] AS payer FROM tx WHERE input_addresses[1] IS NOT NULL),
