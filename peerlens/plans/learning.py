@@ -74,13 +74,20 @@ def stm01_first_sights(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("txid string, first_us long, src_ip string, n long").parquet(f"{home}/out")
 
 
+def stm01_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """The announcements that ``stm01_first_sights`` does not replay, with the reason."""
+    sealed = table(spark, root, "sealed")
+    reason = F.when(F.col("ts_us").isNull(), "no_instant").when(F.col("ts_us") < YEAR[0], "before_2025").when(F.col("ts_us") > YEAR[1], "after_2025")
+    return sealed.select("row_id", "txid", "src_ip", "ts_us", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def stm02_windows(spark: SparkSession, root: str) -> DataFrame:
     """Hourly announcement windows of the stream, as the batch form of the same plan."""
     sealed = table(spark, root, "sealed").where("ts_us is not null").withColumn("at", F.timestamp_micros("ts_us"))
     return first_seen.announcement_windows(sealed).select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "msg_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (mdl01_scores, mdl09_frozen, ftr14_embeddings, alr07_diverse_leads, stm01_first_sights, stm02_windows)}
+QUERIES = {f.__name__: f for f in (mdl01_scores, mdl09_frozen, ftr14_embeddings, alr07_diverse_leads, stm01_first_sights, stm01_rejects, stm02_windows)}
 ORACLES = {
     "stm01_first_sights": f"""WITH s AS (SELECT ts_us, txid, src_ip FROM sealed WHERE ts_us BETWEEN {YEAR[0]} AND {YEAR[1]}), f AS (SELECT txid, min(ts_us) AS first_us FROM s GROUP BY txid), m AS (SELECT max(ts_us) // 1000 AS top FROM s)
       SELECT f.txid, first_us, min(src_ip) FILTER (ts_us = first_us) AS src_ip, count(*) FILTER (ts_us <= first_us + 5000000) AS n FROM f JOIN s USING (txid) JOIN m ON (first_us + 5000000) // 1000 + 1 < top GROUP BY f.txid, first_us""",
