@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 
 from peerlens.runtime import durable
 
+# Columns that one table may have.
+MOST_COLUMNS = 1_000
 # List-valued and integer-valued columns of the one table.
 LISTS = ("input_addresses", "output_addresses", "input_amounts", "output_amounts", "script_types")
 WHOLE = ("src_port", "dst_port", "asn", "fee_sats", "vsize", "block_height")
@@ -216,9 +218,13 @@ def unified_records(files: DataFrame, records: DataFrame, aliases: DataFrame) ->
     One row per record: feed, file_no, row_no, the columns of the alias table
     (lists as array<string>, whole numbers as bigint, others as string; a value
     that cannot be cast is null) and ``other``, a map of the unknown columns.
-    Records of unknown files and texts that are no JSON object are left out.
+    Records of unknown files and texts that are no JSON object are left out. More
+    than MOST_COLUMNS names raise, as none may get lost.
     """
-    columns = sorted(r[0] for r in aliases.where(F.col("column_name").isNotNull()).select("column_name").distinct().limit(1_000).collect())
+    names = aliases.where(F.col("column_name").isNotNull()).select("column_name").distinct().limit(MOST_COLUMNS + 1).collect()
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"the alias table names more than {MOST_COLUMNS} columns")
+    columns = sorted(r[0] for r in names)
     heads = resolved_headers(files, aliases).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("header", F.struct("known", "column_name")))).alias("_names"))
     keyed = files.select("file_id", "feed", "file_no").join(heads, "file_id")
     rows = records.select("file_id", "row_no", F.from_json("record", "map<string,string>").alias("_m")).where(F.col("_m").isNotNull()).join(keyed, "file_id")
