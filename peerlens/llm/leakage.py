@@ -178,8 +178,10 @@ def latent_terms(corpus: DataFrame, size: int, seed: int = 9) -> np.ndarray:
     Randomised SVD: a random sketch of the term space is driven through the
     corpus 1 + POWER times and orthonormalised, and the small Gram matrix in that
     basis is decomposed. Terms that the corpus lacks get pseudo-random vectors of
-    their own, so that they too tell passages apart; every term gets a small
-    pseudo-random part for the same reason.
+    their own, so that they too tell passages apart; every term gets a
+    pseudo-random part for the same reason, of an expected length no smaller than
+    its latent part. The exact search thus tells passages apart mostly by a hash of
+    their terms, which loses nothing, as equal passages have equal vectors.
     """
     df, n = document_frequencies(corpus, size)
     idf = np.log((1 + n) / (1 + df)) + 1.0
