@@ -119,31 +119,54 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def hot_keys(df: DataFrame, key: str, least: int = 100_000, most: int = 1_000) -> DataFrame | None:
-    """Keys that hold more than ``max(least, rows / most)`` rows of ``df``.
+def hot_keys(df: DataFrame, keys: str | list[str], least: int = 100_000, most: int = 20_000) -> DataFrame | None:
+    """(_mark, _salts) of the keys that hold more than ``max(least, rows / most)`` rows.
 
-    By that threshold there are fewer than ``most`` of them, so the returned
-    one-column frame is always safe to broadcast. None if there is no such key.
+    A key with a null part is none, as no join meets it. A key is marked by its hash, so the frame has fewer than ``most`` rows of 12
+    bytes, however long the keys are; a key that shares its hash with a hot one is
+    split like it, which changes no result. ``_salts`` is the number of parts of
+    that size. None if there is no such key.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    keys = [keys] if isinstance(keys, str) else keys
+    counts = df.dropna("any", subset=keys).select(F.xxhash64(*keys).alias("_mark")).groupBy("_mark").agg(F.count(F.lit(1)).alias("_n"))
     # one pass usually shows that no key comes near the threshold
-    total, top = counts.agg(F.sum("_n"), F.max(F.when(F.col(key).isNotNull(), F.col("_n")))).first()
-    if not top or top <= max(least, total // most):
+    total, top = counts.agg(F.sum("_n"), F.max("_n")).first()
+    bound = max(least, (total or 0) // most)
+    if not top or top <= bound:
         return None
-    keys = [r[0] for r in counts.where(F.col("_n") > max(least, total // most)).select(key).collect() if r[0] is not None]
-    if not keys:
-        return None
-    return df.sparkSession.createDataFrame([(k,) for k in keys], df.select(key).schema)
+    rows = [(r["_mark"], -(-r["_n"] // bound)) for r in counts.where(F.col("_n") > bound).collect()]
+    return df.sparkSession.createDataFrame(rows, "_mark long, _salts int")
+
+
+def salts(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``df`` with ``_salts``: the number of parts of each row's key, null for one."""
+    return df.withColumn("_mark", F.xxhash64(*keys)).join(F.broadcast(hot), "_mark", "left").drop("_mark")
+
+
+def salted(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``df`` with ``_salt``: the part of its key that a row belongs to.
+
+    A function of the row and its partition, so a task that runs again gives the
+    same parts, and equal rows of one key still spread.
+    """
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant", "array", "struct")]
+    part = F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.col("_salts").cast("long")).cast("int")
+    return salts(df, keys, hot).withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(part)).drop("_salts")
+
+
+def repeated(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``df`` with each row once per part of its key, numbered by ``_salt``."""
+    return salts(df, keys, hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """Inner join on ``key`` where ``right`` has one row per key.
+def skew_join(left: DataFrame, right: DataFrame, keys: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` (``inner`` or ``left``) in which the hot keys of ``left`` are split.
 
-    Rows of ``left`` with a hot key meet a broadcast of the few matching rows of
-    ``right`` and are never gathered; all other rows take the ordinary join.
+    The rows of a hot key spread over its parts and meet a copy of the matching
+    rows of ``right`` in each. Both sides are read once, so chains of such joins
+    grow no faster than chains of plain ones.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     if hot is None:
-        return left.join(right, key)
-    mark = F.broadcast(hot)
-    few = F.broadcast(right.join(mark, key, "left_semi"))
-    return left.join(mark, key, "left_anti").join(right, key).unionByName(left.join(few, key))
+        return left.join(right, keys, how)
+    return salted(left, keys, hot).join(repeated(right, keys, hot), [*keys, "_salt"], how).drop("_salt")

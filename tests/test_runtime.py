@@ -9,9 +9,14 @@ def test_hot_keys_and_join(spark):
     right = spark.createDataFrame([("h", "H"), ("k1", "K"), ("z", "Z")], "key string, v string")
     assert runtime.hot_keys(left, "key", least=100) is None
     hot = runtime.hot_keys(left, "key", least=10)
-    assert [r[0] for r in hot.collect()] == ["h"]  # null is no key
-    plain, skewed = (sorted(map(tuple, runtime.skew_join(left, right, "key", h).collect())) for h in (None, hot))
-    assert plain == skewed and len(plain) == 51
+    mark = spark.createDataFrame([("h",)], "key string").select(F.xxhash64("key")).first()[0]
+    assert [tuple(r) for r in hot.collect()] == [(mark, 5)]  # null is no key
+    for how, n in (("inner", 51), ("left", 130)):
+        plain, skewed = (sorted(map(str, runtime.skew_join(left, right, "key", h, how).collect())) for h in (None, hot))
+        assert plain == skewed and len(plain) == n
+    # the rows of the hot key spread over its parts, equal rows too
+    same = spark.createDataFrame([("h", 1)] * 400, "key string, x int").repartition(8)
+    assert runtime.salted(same, ["key"], runtime.hot_keys(same, "key", least=100)).select("_salt").distinct().count() > 1
     assert runtime.hot_keys(left.limit(0), "key") is None
 
 
