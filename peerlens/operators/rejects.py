@@ -3,7 +3,10 @@
 For a schema an anchored regular expression of the whole row is generated. Rows
 that match it are well formed; the others pass through a series of incremental
 field prefixes that names the first broken field, and an ordered list of checks
-gives the reason. All of it stays in JVM expressions: one scan, no shuffle.
+gives the reason. All of it stays in JVM expressions: one scan of the header
+lines, one of all lines. Rows of a file whose header has the columns in another
+order are brought into the schema's order first, by an index that comes from the
+header, so any number of orders takes the same two scans.
 
 The patterns only use possessive loops, which Java runs without recursion, so
 cells of any length are safe.
@@ -16,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peerlens.runtime import durable, hot_keys, skew_join, small
+
 # The capture columns in file order.
 COLUMNS = (
     "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "txid", "input_addresses", "input_amounts", "output_addresses",
@@ -82,11 +87,18 @@ def _items(cell: Column) -> Column:
     return F.when(cell == "", 0).otherwise(F.size(F.split(cell, r"\|", -1)))
 
 
+def in_order(line: Column, order: Column, width: int) -> Column:
+    """The line with its raw cells in the order that the index tells; as it is, where it cannot be split so."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf",({_CELL})"), F.lit(1))
+    splits = F.concat(F.lit(","), line).rlike(GRAMMAR) & (F.size(raw) == width)
+    return F.when(order.isNotNull() & splits, F.array_join(F.transform(order, lambda i: F.get(raw, i)), ",")).otherwise(line)
+
+
 def classify(lines: DataFrame, columns: tuple[str, ...] = COLUMNS, line: str = "line") -> DataFrame:
     """``lines`` with reject_reason (null: loads), first_broken and the cells.
 
-    ``first_broken`` is the first field whose prefix pattern fails; it is null
-    for rows that match the row pattern and for failures between fields.
+    ``first_broken`` is the first field of the schema whose prefix pattern fails;
+    it is null for rows that match the row pattern and for failures between fields.
     """
     text = F.col(line)
     # each generator is a barrier: filters on the reason cannot pull a copy of the pattern work below it
@@ -123,8 +135,7 @@ def classify(lines: DataFrame, columns: tuple[str, ...] = COLUMNS, line: str = "
         .when(cell["output_addresses"] == "", "no_outputs")
     )
     broken = F.get(F.array(*[F.lit(c) for c in columns]), first)
-    ordered = F.array(*[cell[c] for c in COLUMNS if c in columns])
-    return step.withColumn("reject_reason", reason).withColumn("first_broken", broken).withColumn("_cells", ordered).drop("_whole", "_s")
+    return step.withColumn("reject_reason", reason).withColumn("first_broken", broken).withColumn("_cells", F.col("_s.cells")).drop("_whole", "_s")
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
@@ -132,30 +143,25 @@ def data_lines(lines: DataFrame) -> DataFrame:
     return lines.where(~F.coalesce(F.col("line_no") == 0, F.lit(False)) & F.col("line").isNotNull() & ~F.col("line").rlike(rf"\A{WS}*+\z"))
 
 
-def header_orders(lines: DataFrame, known: tuple[str, ...] = COLUMNS) -> list[tuple[tuple[str, ...], str | None]]:
-    """Distinct column orders of the header lines, as (columns, header text).
-
-    Only headers that name exactly the known columns make a schema of their own;
-    files without such a header are read in the standard order. Column orders are
-    few by nature (one per writer version); more than 64 of them is an error.
-    """
-    head = lines.where((F.col("line_no") == 0) & F.col("line").isNotNull()).select(header_key(F.col("line")).alias("h")).distinct()
-    texts = [r["h"] for r in head.limit(65).collect()]
-    if len(texts) > 64:
-        raise ValueError("more than 64 different header lines")
-    orders = []
-    for t in sorted(texts):
-        names = tuple(t.split(","))
-        if names != tuple(known) and sorted(names) == sorted(known):
-            orders.append((names, t))
-    return orders
-
-
 def header_key(line: Column) -> Column:
     """Header line as compared: lower case, without byte order mark, quotes and blanks."""
     return F.lower(F.regexp_replace(line, rf'{WS}|["\uFEFF]', ""))
 
 
+def header_orders(lines: DataFrame, known: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """(source_file, _order) of the files whose header names exactly the known columns in another order.
+
+    ``_order`` holds the position in the file of each known column. All other
+    files are read in the standard order. Of several header lines of a file the
+    first by code point counts.
+    """
+    standard = F.array(*[F.lit(c) for c in known])
+    head = lines.where((F.col("line_no") == 0) & F.col("line").isNotNull() & F.col("source_file").isNotNull())
+    head = head.select("source_file", header_key(F.col("line")).alias("_h")).groupBy("source_file").agg(F.split(F.min("_h"), ",").alias("_h"))
+    head = head.where((F.col("_h") != standard) & (F.array_sort("_h") == F.array_sort(standard)))
+    return head.select("source_file", F.transform(standard, lambda c: (F.array_position("_h", c) - 1).cast("int")).alias("_order"))
+
+
 def reject_lines(lines: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """``classify`` over all data lines, each file read in its header's order.
 
@@ -163,14 +169,14 @@ def reject_lines(lines: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFr
     judged one by one; an empty table gives an empty result.
     """
     rows = data_lines(lines)
-    orders = header_orders(lines, columns)
-    if not orders:
+    orders = durable(header_orders(lines, columns), "orders")
+    if orders.isEmpty():
         return classify(rows, columns)
-    heads = lines.where((F.col("line_no") == 0) & F.col("line").isNotNull()).groupBy("source_file").agg(F.min(header_key(F.col("line"))).alias("_h"))
-    rows = rows.join(heads, "source_file", "left")
-    other = F.coalesce(F.col("_h").isin(*[t for _, t in orders]), F.lit(False))
-    parts = [classify(rows.where(~other), columns)] + [classify(rows.where(F.col("_h") == t), names) for names, t in orders]
-    return reduce(DataFrame.unionByName, parts).drop("_h")
+    few = small(orders)
+    rows = rows.join(few, "source_file", "left") if few is not orders else skew_join(rows, orders, "source_file", hot_keys(rows, "source_file"), "left")
+    # a barrier as in classify: the line is put in order once
+    rows = rows.withColumn("_line", F.explode(F.array(in_order(F.col("line"), F.col("_order"), len(columns)))))
+    return classify(rows, columns, "_line").drop("_line", "_order")
 
 
 def rejected(lines: DataFrame) -> DataFrame:

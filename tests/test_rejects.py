@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from peerlens.operators.rejects import COLUMNS, classify, loaded, rejected
@@ -79,5 +81,24 @@ def test_other_column_order(spark):
     assert loaded(df).first()["txid"] == TXID
 
 
+def test_a_hundred_header_orders_in_one_plan(spark):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for f in range(100):
+        at = rng.sample(range(18), 18)
+        rows.append((f * 10, f"f{f}.csv", 0, ",".join(COLUMNS[i].upper() for i in at)))
+        for k, (text, reason) in enumerate(rng.sample(CASES[:25], 4)):
+            cells = [c for c in text.split(",")]
+            if '"' in text or len(cells) != 18:
+                continue
+            rows.append((f * 10 + k + 1, f"f{f}.csv", k + 1, ",".join(cells[i] for i in at)))
+            want[f * 10 + k + 1] = reason
+    df = spark.createDataFrame(rows, "line_id long, source_file string, line_no int, line string")
+    got = rejected(df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RelationV2") + got._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+    assert {r["line_id"]: r["reject_reason"] for r in got.collect()} == {k: v for k, v in want.items() if v}
+    assert loaded(df).where(f"txid = '{TXID}'").count() == sum(v is None for v in want.values())
+
+
 def test_empty(spark):
     assert rejected(spark.createDataFrame([], "line_id long, source_file string, line_no int, line string")).count() == 0
