@@ -36,10 +36,21 @@ def test_against_brute_force(spark, monkeypatch):
             got = run(spark, rows, parts, n)
             assert len(got) == len(set(got))
             assert set(got) == brute(rows, n)
+    for bounds in (0, 1):  # no bound or only the most widely held group's is known before the exchange
+        monkeypatch.setattr(topn, "BOUNDS", bounds)
+        assert set(run(spark, rows, 5)) == brute(rows)
     monkeypatch.setattr(topn, "COMPACT_ROWS", 10)
     assert set(run(spark, rows, 3)) == brute(rows)
 
 
+def test_bounds_drop_rows_before_the_exchange(spark):
+    rows = [("hot", "x", f"p{i}", float(i), "") for i in range(2_000)]
+    df = top_n(spark.createDataFrame(rows, SCHEMA).repartition(8), ["g", "e"], "item", "score")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression") < plan.index("Join LeftOuter")  # the join lies below, so it runs first
+    assert [r["item"] for r in df.orderBy("place").collect()] == ["p1999", "p1998", "p1997"]
+
+
 def test_empty(spark):
     assert run(spark, [], 1) == []
     assert run(spark, [("g", "x", "p", None, "")], 1) == []
