@@ -25,7 +25,7 @@ LEXICON = {
     "finney": 10, "mbtc": 100_000, "mxbt": 100_000, "millibtc": 100_000, "millibitcoin": 100_000, "milli-bitcoin": 100_000,
     "cbtc": 1_000_000, "centibitcoin": 1_000_000,
     "btc": 100_000_000, "xbt": 100_000_000, "bitcoin": 100_000_000, "bitcoins": 100_000_000, "₿": 100_000_000,
-    "msats": 1_000_000, "megasat": 1_000_000,
+    "megasat": 1_000_000,
 }
 # msat means a thousandth of a satoshi to some writers and a million to others; it is read as neither.
 AMBIGUOUS = ("msat", "msats")
@@ -89,9 +89,9 @@ def weighted_distance(a: str, b: str) -> float:
 
 
 def _grams(text: Column) -> Column:
-    padded = F.concat(F.lit("^"), text, F.lit("$"))
-    n = F.length(padded)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(padded, i, F.lit(2))))
+    # linear in the text, however long it is
+    chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
+    return F.array_distinct(F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda x, y: F.concat(x, y)))
 
 
 @F.pandas_udf(DoubleType())
@@ -99,34 +99,41 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def alias_dictionary(spellings: DataFrame) -> DataFrame:
-    """(spelling, sats) for the distinct folded spellings that name a unit.
+def nearest_names(spellings: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(spelling, meaning) of the distinct spellings near enough to one of ``names``.
 
-    Null, empty and over-long (more than 40 characters) spellings and the
-    ambiguous ones name none. If the nearest names tie and disagree on the size,
-    the spelling names none either.
+    Candidates come from the inverted index of character bigrams; the weighted
+    edit distance verifies them. If the nearest names tie and differ in meaning,
+    the spelling means nothing. Null and empty spellings mean nothing.
     """
     spark = spellings.sparkSession
-    names = [(k, v) for k, v in LEXICON.items() if k not in AMBIGUOUS]
-    lexicon = F.broadcast(spark.createDataFrame(names, "name string, sats long"))
-    index = F.broadcast(spark.createDataFrame(names, "name string, sats long").select("name", F.explode(_grams(F.col("name"))).alias("gram")))
-    left = spellings.where(F.length("spelling").between(1, 40) & ~F.col("spelling").isin(*AMBIGUOUS)).select("spelling").distinct()
+    lexicon = F.broadcast(spark.createDataFrame(list(names.items()), "name string, meaning string"))
+    index = F.broadcast(lexicon.select("name", F.explode(_grams(F.col("name"))).alias("gram")))
+    left = spellings.where((F.col("spelling") != "") & ~F.col("spelling").isin(*AMBIGUOUS)).select("spelling").distinct().select("spelling", _grams(F.col("spelling")).alias("grams"))
     shared = (
-        left.select("spelling", F.size(_grams(F.col("spelling"))).alias("n"), F.explode(_grams(F.col("spelling"))).alias("gram"))
+        left.select("spelling", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
         .join(index, "gram")
         .groupBy("spelling", "name")
         .agg(F.count("gram").alias("common"), F.max("n").alias("n"))
         .where(F.col("common") >= F.greatest(F.lit(1), MIN_SHARE * F.col("n")))
     )
     scored = shared.join(lexicon, "name").withColumn("d", _distance("spelling", "name")).where(F.col("d") <= MAX_DISTANCE)
-    best = scored.groupBy("spelling").agg(F.min("d").alias("d"))
-    return (
-        scored.join(best, ["spelling", "d"])
-        .groupBy("spelling")
-        .agg(F.min("sats").alias("sats"), F.max("sats").alias("top"))
-        .where(F.col("sats") == F.col("top"))
-        .select("spelling", "sats")
-    )
+    # at most the whole lexicon per spelling
+    found = scored.groupBy("spelling").agg(F.array_sort(F.collect_list(F.struct("d", "meaning"))).alias("m"))
+    nearest = F.filter("m", lambda x: x["d"] == F.col("m")[0]["d"])
+    return found.select("spelling", F.array_distinct(F.transform(nearest, lambda x: x["meaning"])).alias("m")).where(F.size("m") == 1).select("spelling", F.col("m")[0].alias("meaning"))
+
+
+def alias_dictionary(spellings: DataFrame) -> DataFrame:
+    """(spelling, sats, num, den) of the distinct folded spellings, of any length, that mean something.
+
+    ``sats`` is the size of a unit; ``num`` and ``den`` are what a scale word makes of
+    the unit after it. The ambiguous unit names mean nothing.
+    """
+    names = {k: f"{v}" for k, v in LEXICON.items()} | {k: f"{n}/{d}" for k, (n, d) in SCALES.items()}
+    part = lambda i: F.get(F.split("meaning", "/"), F.lit(i)).try_cast("long")
+    found = nearest_names(spellings, names).withColumn("_scale", F.col("meaning").contains("/"))
+    return found.select("spelling", F.when(~F.col("_scale"), part(0)).alias("sats"), F.when(F.col("_scale"), part(0)).alias("num"), F.when(F.col("_scale"), part(1)).alias("den"))
 
 
 def note_words(observers: DataFrame) -> DataFrame:
@@ -141,7 +148,7 @@ def note_units(words: DataFrame, aliases: DataFrame) -> DataFrame:
     A note tells a unit if exactly one size results from its words, where a
     scale word ("thousandths of a bitcoin") changes the next unit after it.
     """
-    known = words.join(aliases, "spelling", "left").groupBy("observer_id").agg(F.sort_array(F.collect_list(F.struct("pos", "spelling", "sats"))).alias("w"))
+    known = words.join(aliases, "spelling").groupBy("observer_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sats", "num", "den"))).alias("w"))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -149,14 +156,13 @@ def note_units(words: DataFrame, aliases: DataFrame) -> DataFrame:
             for observer, seq in zip(frame["observer_id"], frame["w"], strict=True):
                 sizes, scale = set(), (1, 1)
                 for item in seq:
-                    word, sats = item["spelling"], item["sats"]
-                    if word in SCALES:
-                        scale = SCALES[word]
-                    elif sats is not None and sats == sats:
-                        size, rest = divmod(int(sats) * scale[0], scale[1])
+                    if item["sats"] is not None and item["sats"] == item["sats"]:
+                        size, rest = divmod(int(item["sats"]) * scale[0], scale[1])
                         if not rest and size:
                             sizes.add(size)
                         scale = (1, 1)
+                    elif item["num"] is not None and item["num"] == item["num"]:
+                        scale = (int(item["num"]), int(item["den"]))
                 if len(sizes) == 1:
                     out.append((observer, sizes.pop()))
             yield pd.DataFrame(out, columns=["observer_id", "note_sats"]).astype({"note_sats": "int64"})
@@ -183,9 +189,9 @@ def to_sats(frame: DataFrame, number: str = "number", sats: str = "sats", out: s
     Blanks and apostrophes group by threes. A comma groups if a point follows, if
     there are several, or if the unit has no fractions and three digits follow;
     otherwise a single comma is the decimal mark. Several points are no number.
-    The value is null if unreadable, negative or finer than a satoshi; numbers
-    with more than 16 digits before or 12 after the point (trailing zeros aside)
-    are unreadable.
+    The value is null if unreadable, negative, finer than a satoshi or beyond the
+    64 bits of the result. Units are powers of ten, so the conversion moves the
+    point in the digits, however many there are, and never rounds.
     """
     c = F.col
     commas = r"^[+\-]?[0-9]{1,3}(,[0-9]{3})+"
@@ -196,11 +202,25 @@ def to_sats(frame: DataFrame, number: str = "number", sats: str = "sats", out: s
         F.when(~c("_s").contains(","), c("_s"))
         .when(c("_s").rlike(commas + r"\.[0-9]+$") | c("_s").rlike(r"^[+\-]?[0-9]{1,3}(,[0-9]{3}){2,}$"), F.translate("_s", ",", ""))
         .when((c(sats) == 1) & c("_s").rlike(commas + "$"), F.translate("_s", ",", ""))
-        .when(c("_s").rlike(r"^[+\-]?[0-9]*,[0-9]+([eE][+\-]?[0-9]{1,2})?$"), F.translate("_s", ",", ".")),
+        .when(c("_s").rlike(r"^[+\-]?[0-9]*,[0-9]+([eE][+\-]?[0-9]+)?$"), F.translate("_s", ",", ".")),
     )
-    step = step.withColumn("_s", F.when(c("_s").rlike(r"^[+\-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+\-]?[0-9]{1,2})?$"), F.regexp_replace("_s", r"(\.[0-9]*?)0+$", "$1")))
-    step = step.withColumn("_d", F.when(~c("_s").rlike(r"\.[0-9]{13,}$"), c("_s").try_cast("decimal(28,12)")) * c(sats).cast("decimal(10,0)"))
-    return step.withColumn(out, F.when((c("_d") >= 0) & (c("_d") == F.floor("_d")), F.floor("_d").try_cast("long"))).drop("_s", "_d")
+    # sign, whole digits, fraction digits, exponent
+    form = r"^([+\-]?)([0-9]*)[.]?([0-9]*)(?:[eE]([+\-]?[0-9]+))?$"
+    step = step.withColumn("_f", F.when(c("_s").rlike(r"^[+\-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+\-]?[0-9]+)?$"), F.split(F.regexp_replace("_s", form, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")))
+    step = step.withColumn("_w", F.regexp_replace(c("_f")[1], "^0+", ""))
+    # digits without outer zeros, and the place of the point among them
+    step = step.withColumn("_r", F.concat("_w", c("_f")[2]))
+    step = step.withColumn("_g", F.regexp_replace("_r", "^0+", ""))
+    exponent = F.when(c("_f")[3] == "", 0).otherwise(F.coalesce(c("_f")[3].try_cast("int"), F.when(c("_f")[3].startswith("-"), -1_000_000_000).otherwise(1_000_000_000)))
+    step = step.withColumn("_x", (F.length("_w") - (F.length("_r") - F.length("_g")) + exponent.cast("long") + F.length(c(sats).cast("string")) - 1))
+    step = step.withColumn("_g", F.regexp_replace("_g", "0+$", ""))
+    whole = F.when(c("_g") == "", F.lit(0).cast("long")).when((c("_f")[0] != "-") & (F.length("_g") <= c("_x")) & (c("_x") <= 19), F.rpad("_g", F.least(c("_x"), F.lit(19)).cast("int"), F.lit("0")).try_cast("long"))
+    return step.withColumn(out, F.when(c(sats).isNotNull(), whole)).drop("_s", "_f", "_w", "_r", "_g", "_x")
+
+
+def observer_key(observer: Column) -> Column:
+    """A key that is never null: empty for no observer, else marked."""
+    return F.coalesce(F.concat(F.lit("="), observer), F.lit("")).alias("observer_key")
 
 
 def total_in_sats(sealed: DataFrame, observers: DataFrame, amounts: str = "output_amounts", out: str = "total_out_sats") -> DataFrame:
@@ -215,49 +235,44 @@ def total_in_sats(sealed: DataFrame, observers: DataFrame, amounts: str = "outpu
     take the smallest unit and note. Empty tables give an empty result.
     """
     exploded = sealed.select("row_id", "observer_id", F.explode_outer(amounts).alias("token"), F.size(amounts).alias("_n")).where(F.col("_n") >= 0)
-    tokens = split_tokens(exploded).select("row_id", "observer_id", "_n", "number", "unit")
+    # every token is parsed once; the table has only numbers and unit texts
+    tokens = durable(split_tokens(exploded).select("row_id", observer_key(F.col("observer_id")), "_n", "number", "unit"), "tokens")
 
-    # one pass over the tokens gives the distinct spellings and the observers' habits, both combined map-side
+    # one pass over them gives the distinct spellings and the observers' habits, both combined map-side
     bare = F.coalesce(F.col("unit") == "", F.lit(False))
     # only numbers of a plain shape tell a habit: 12.3.4 is neither whole nor a fraction
-    fraction = bare & F.col("number").rlike(r"^[0-9]*([.][0-9]+|,([0-9]{1,2}|[0-9]{4,}))([eE][+\-]?[0-9]{1,2})?$")
+    fraction = bare & F.col("number").rlike(r"^[0-9]*([.][0-9]+|,([0-9]{1,2}|[0-9]{4,}))([eE][+\-]?[0-9]+)?$")
     whole = bare & F.col("number").rlike(rf"^[0-9]+$|^[0-9]{{1,3}}(({GROUP}|,)[0-9]{{3}})+$")
-    # filtered only after writing: a filter on the unit would pull a second copy of the parsing below the aggregate
-    facts = durable(tokens.groupBy("observer_id", "unit").agg(F.count_if(fraction).alias("fractions"), F.count_if(whole).alias("wholes")), "unit-facts").where(F.col("unit").isNotNull())
+    facts = durable(tokens.where(F.col("unit").isNotNull()).groupBy("observer_key", "unit").agg(F.count_if(fraction).alias("fractions"), F.count_if(whole).alias("wholes")), "unit-facts")
     observers = observers.where(F.col("observer_id").isNotNull()).groupBy("observer_id").agg(F.min("amount_unit").alias("amount_unit"), F.min("note").alias("note"))
+    observers = durable(observers, "observers")
     own = observers.select("observer_id", fold_unit(F.col("amount_unit")).alias("spelling"))
     words = note_words(observers)
     aliases = durable(alias_dictionary(facts.select(F.col("unit").alias("spelling")).union(own.select("spelling")).union(words.select("spelling"))), "unit-aliases")
-    habits = facts.where(F.col("unit") == "").select("observer_id", F.when((F.col("fractions") > 0) & (F.col("fractions") >= F.col("wholes")), 100_000_000).otherwise(1).cast("long").alias("habit_sats"))
+    habits = facts.where(F.col("unit") == "").select("observer_key", F.when((F.col("fractions") > 0) & (F.col("fractions") >= F.col("wholes")), 100_000_000).otherwise(1).cast("long").alias("habit_sats"))
     told = own.join(aliases, "spelling", "left").select("observer_id", F.col("sats").alias("own_sats")).join(note_units(words, aliases), "observer_id", "left")
-    known = facts.select("observer_id").distinct()
-    defaults = (
-        known.join(habits, known["observer_id"].eqNullSafe(habits["observer_id"]), "left")
-        .select(known["observer_id"], "habit_sats")
-        .join(told, "observer_id", "left")
-        .select(F.coalesce("observer_id", F.lit("")).alias("observer_key"), F.coalesce("own_sats", "note_sats", "habit_sats").alias("default_sats"))
-        .groupBy("observer_key")
-        .agg(F.min("default_sats").alias("default_sats"))
-    )
+    told = told.select(observer_key(F.col("observer_id")), "own_sats", "note_sats")
+    default = F.coalesce("own_sats", "note_sats", "habit_sats")
     # the dictionary resolved per (observer, unit text): one join instead of two
     resolved = (
-        facts.select(F.coalesce("observer_id", F.lit("")).alias("observer_key"), "unit")
-        .join(defaults, "observer_key", "left")
-        .join(aliases.withColumnRenamed("spelling", "unit"), "unit", "left")
-        .select("observer_key", "unit", F.when(F.col("unit") == "", F.col("default_sats")).otherwise(F.col("sats")).alias("sats"))
+        facts.select("observer_key", "unit")
+        .join(habits, "observer_key", "left")
+        .join(told, "observer_key", "left")
+        .join(aliases.select(F.col("spelling").alias("unit"), "sats"), "unit", "left")
+        .select("observer_key", "unit", F.when(F.col("unit") == "", default).otherwise(F.col("sats")).alias("sats"))
         .where(F.col("sats").isNotNull())
         .groupBy("observer_key", "unit")
         .agg(F.min("sats").alias("sats"))
     )
     resolved = small(durable(resolved, "unit-dictionary"))
-    read = tokens.withColumn("observer_key", F.coalesce("observer_id", F.lit(""))).join(resolved, ["observer_key", "unit"], "left")
+    read = tokens.join(resolved, ["observer_key", "unit"], "left")
     read = to_sats(read)
     value = F.when(F.col("_n") == 0, F.lit(0)).otherwise(F.col("value"))
     # the tokens of a row sit in one partition, so partial sums leave one small row each before the shuffle
     return (
         read.groupBy("row_id")
-        .agg(F.sum(value).alias(out), F.count(value).alias("_ok"), F.max(F.greatest("_n", F.lit(1))).alias("_n"))
-        .where(F.col("_ok") == F.col("_n"))
+        .agg(F.try_sum(value).alias(out), F.count(value).alias("_ok"), F.max(F.greatest("_n", F.lit(1))).alias("_n"))
+        .where((F.col("_ok") == F.col("_n")) & F.col(out).isNotNull())
         .select("row_id", out)
     )
 
