@@ -2,16 +2,18 @@
 
 Both sides are unioned, sorted within each key, and the payload of the nearest
 right row is carried along: one shuffle, one sort, spill-safe, never quadratic.
+Very large keys are carried along over several ranges (``ordered.last_before``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from peerlens.operators.ordered import last_before
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, right_on: str, payload: list[str], direction: str = "backward", strict: bool = False) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, right_on: str, payload: list[str], direction: str = "backward", strict: bool = False, hot_rows: int = 1_000_000) -> DataFrame:
     """``left`` with the payload of the nearest right row of the same keys.
 
     backward: latest right row at or before (``strict``: before) the left time;
@@ -31,15 +33,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, right
     tagged = left.select(*[F.col(c) for c in cols], F.col(on).alias("_t"), F.lit(1 - right_side).alias("_side"), F.lit(None).cast(r.schema["_p"].dataType).alias("_p"), F.lit(True).alias("_left"))
     other = r.select(*[F.col(k) for k in keys], F.col(right_on).alias("_t"), F.lit(right_side).alias("_side"), "_p", F.lit(False).alias("_left"))
     both = tagged.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(*keys)
-    if backward:
-        carried = F.last("_p", ignorenulls=True).over(w.orderBy(F.col("_t").asc_nulls_first(), F.col("_side").asc()).rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        carried = F.last("_p", ignorenulls=True).over(w.orderBy(F.col("_t").desc_nulls_first(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    order = [F.col("_t").asc_nulls_first(), F.col("_side").asc()] if backward else [F.col("_t").desc_nulls_first(), F.col("_side").desc()]
+    both = last_before(both, keys, order, "_p", "_c", hot_rows=hot_rows)
     known = F.col("_t").isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
-    out = both.withColumn("_m", F.when(known, carried)).where(F.col("_left"))
+    out = both.withColumn("_m", F.when(known, F.col("_c"))).where(F.col("_left"))
     return out.select(*[F.col(c) for c in cols], F.col("_m._at").alias(right_on if right_on not in cols else f"{right_on}_match"), *[F.col(f"_m.{p}").alias(p) for p in payload])
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peerlens.operators.ordered import last_before
 from peerlens.runtime import durable
 
 # Columns that one table may have.
@@ -25,9 +26,9 @@ MOST_COLUMNS = 1_000
 # List-valued and integer-valued columns of the one table.
 LISTS = ("input_addresses", "output_addresses", "input_amounts", "output_amounts", "script_types")
 WHOLE = ("src_port", "dst_port", "asn", "fee_sats", "vsize", "block_height")
-# Flooding stops when no score moves by more than EPSILON, at the latest after ROUNDS.
+# Flooding has converged when no score moves by more than EPSILON; no convergence in ROUNDS is an error.
 EPSILON = 1e-4
-ROUNDS = 60
+ROUNDS = 10_000
 
 
 def header_as_compared(header: Column) -> Column:
@@ -57,10 +58,11 @@ def resolved_headers(files: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def value_kinds(records: DataFrame) -> DataFrame:
-    """(file_id, header, kind): JSON types of each key's non-null values.
+    """(file_id, header, kind, inner): JSON types of each key's non-null values.
 
     ``kind`` is whole, fraction, string, array, boolean or object; several in one
-    file are joined by ``+``. Records that are no JSON object count for nothing.
+    file are joined by ``+``. ``inner`` has what nests in its arrays and objects, as
+    the type text that the values have. Records that are no JSON object count for nothing.
     """
     spark = records.sparkSession
     parsed = records.where(F.col("file_id").isNotNull()).select("file_id", F.try_parse_json("record").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
@@ -75,14 +77,17 @@ def value_kinds(records: DataFrame) -> DataFrame:
         .when(F.col("t").startswith("OBJECT"), "object")
     )
     # distinct first: partial aggregation leaves one row per file, key and kind
-    seen = fields.select("file_id", "header", kind.alias("kind")).where(F.col("kind").isNotNull()).distinct()
-    return seen.groupBy("file_id", "header").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kind"))
+    seen = fields.select("file_id", "header", kind.alias("kind"), F.regexp_extract("t", r"(?s)^(?:ARRAY|OBJECT)<(.*)>$", 1).alias("inner")).where(F.col("kind").isNotNull()).distinct()
+    return seen.groupBy("file_id", "header").agg(
+        F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kind"),
+        F.array_sort(F.collect_set(F.when(~F.col("inner").isin("", "VOID"), F.col("inner")))).alias("inner"),
+    )
 
 
 def file_schemas(files: DataFrame, records: DataFrame, aliases: DataFrame) -> DataFrame:
     """(feed, file_no, fields) with the columns of each file in file order."""
     typed = resolved_headers(files, aliases).join(value_kinds(records), ["file_id", "header"], "left")
-    fields = typed.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "spelling", "column_name", "known", "kind"))).alias("fields"))
+    fields = typed.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "spelling", "column_name", "known", "kind", "inner"))).alias("fields"))
     # of several files with one number in a feed, the smallest file_id counts
     number = files.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).groupBy("feed", "file_no").agg(F.min("file_id").alias("file_id"))
     return number.join(fields, "file_id", "left").select("feed", "file_no", "fields")
@@ -92,19 +97,22 @@ def consecutive(schemas: DataFrame) -> DataFrame:
     """Each file with the fields of the one before it in its feed.
 
     Neighbours without a gap in their numbers meet by an equi-join on unique
-    keys, so a feed with a third of all files is spread like any other. Only the
-    few files beside gaps go through a window.
+    keys, so a feed with a third of all files is spread like any other. For files
+    beside gaps only the numbers are ordered, and the fields join them afterwards.
     """
     after = schemas.select("feed", (F.col("file_no") + 1).cast("int").alias("file_no"), F.col("fields").alias("old"), F.lit(True).alias("_has"))
-    joined = schemas.join(after, ["feed", "file_no"], "full")
-    direct = joined.where(F.col("_has") & F.col("fields").isNotNull()).select("feed", "file_no", "old", F.col("fields").alias("new"))
-    ends = joined.where(F.col("_has").isNull()).select("feed", "file_no", F.lit(1).alias("_side"), "fields")
-    starts = joined.where(F.col("_has") & F.col("fields").isNull()).select("feed", (F.col("file_no") - 1).cast("int").alias("file_no"), F.lit(0).alias("_side"), F.col("old").alias("fields"))
+    here = schemas.withColumn("_is", F.lit(True))
+    joined = here.join(after, ["feed", "file_no"], "full")
+    direct = joined.where(F.col("_has") & F.col("_is")).select("feed", "file_no", "old", F.col("fields").alias("new"))
+    ends = joined.where(F.col("_has").isNull()).select("feed", "file_no", F.lit(1).alias("_side"))
+    starts = joined.where(F.col("_has") & F.col("_is").isNull()).select("feed", (F.col("file_no") - 1).cast("int").alias("file_no"), F.lit(0).alias("_side"))
     # at one number the file that looks back sorts before the same file as a predecessor
-    w = Window.partitionBy("feed").orderBy("file_no", F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
-    jumps = ends.unionByName(starts).withColumn("old", F.last(F.when(F.col("_side") == 0, F.col("fields")), ignorenulls=True).over(w))
-    jumps = jumps.where((F.col("_side") == 1) & F.col("old").isNotNull()).select("feed", "file_no", "old", F.col("fields").alias("new"))
-    return direct.unionByName(jumps)
+    numbers = ends.unionByName(starts).withColumn("_own", F.when(F.col("_side") == 0, F.col("file_no")))
+    jumps = last_before(numbers, ["feed"], [F.col("file_no").asc(), F.col("_side").desc()], "_own", "_old", strict=True)
+    jumps = jumps.where((F.col("_side") == 1) & F.col("_old").isNotNull()).select("feed", "file_no", "_old")
+    new = schemas.select("feed", "file_no", F.col("fields").alias("new"))
+    old = schemas.select("feed", F.col("file_no").alias("_old"), F.col("fields").alias("old"))
+    return direct.unionByName(jumps.join(new, ["feed", "file_no"]).join(old, ["feed", "_old"]).select("feed", "file_no", "old", "new"))
 
 
 @lru_cache(maxsize=100_000)
@@ -120,14 +128,21 @@ def name_similarity(a: str, b: str) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
+def _types(field) -> set[str]:
+    """Type nodes of a column: its own type and the types nested in it."""
+    inner = field["inner"] if "inner" in field else None
+    return {field["kind"] or "", *(f"<{t}>" for t in (inner if inner is not None else ()))}
+
+
 def flood(old: list, new: list) -> np.ndarray:
     """Converged match scores of two column lists, as a matrix.
 
-    Nodes: columns, their resolved names, their types and the file. A pair of
-    columns starts at 1 if the alias dictionary gives both one name, else at half
-    their trigram similarity. Pairs spread their score along equal edges (column
-    to name, to type, to file), each edge weighted by the inverse number of pairs
-    that share it; scores are divided by the largest after every round.
+    Nodes: columns, their resolved names, their types, what nests in them, and the
+    file. A pair of columns starts at 1 if the alias dictionary gives both one name,
+    else at half their trigram similarity. Pairs spread their score along equal edges
+    (column to name, to type, to nested type, to file), each edge weighted by the
+    inverse number of pairs that share it; scores are divided by the largest after
+    every round.
     """
     n, m = len(old), len(new)
     concept_old = [(f["known"], f["column_name"]) for f in old]
@@ -135,9 +150,10 @@ def flood(old: list, new: list) -> np.ndarray:
     same = np.array([[1.0 if a == b else 0.0 for b in concept_new] for a in concept_old]).reshape(n, m)
     spelled = np.array([[name_similarity(a["spelling"], b["spelling"]) for b in new] for a in old]).reshape(n, m)
     start = np.where(same > 0, 1.0, 0.5 * spelled)
-    kinds = sorted({f["kind"] or "" for f in old} | {f["kind"] or "" for f in new})
-    of_old = np.array([[float((f["kind"] or "") == k) for k in kinds] for f in old]).reshape(n, len(kinds))
-    of_new = np.array([[float((f["kind"] or "") == k) for k in kinds] for f in new]).reshape(m, len(kinds))
+    types_old, types_new = [_types(f) for f in old], [_types(f) for f in new]
+    kinds = sorted(set().union(*types_old, *types_new))
+    of_old = np.array([[float(k in t) for k in kinds] for t in types_old]).reshape(n, len(kinds))
+    of_new = np.array([[float(k in t) for k in kinds] for t in types_new]).reshape(m, len(kinds))
     type_start = np.eye(len(kinds))
     shared = np.maximum(1.0, np.outer(of_old.sum(0), of_new.sum(0)))
     col, name, kind, root = start.copy(), same.copy(), type_start.copy(), 1.0
@@ -152,8 +168,8 @@ def flood(old: list, new: list) -> np.ndarray:
         moved = max(np.abs(col2 - col).max(), np.abs(name2 - name).max(), np.abs(kind2 - kind).max())
         col, name, kind, root = col2, name2, kind2, root2
         if moved < EPSILON:
-            break
-    return col
+            return col
+    raise ArithmeticError(f"similarity flooding did not converge in {ROUNDS} rounds")
 
 
 def select(scores: np.ndarray) -> list[tuple[int, int]]:
@@ -217,24 +233,32 @@ def unified_records(files: DataFrame, records: DataFrame, aliases: DataFrame) ->
 
     One row per record: feed, file_no, row_no, the columns of the alias table
     (lists as array<string>, whole numbers as bigint, others as string; a value
-    that cannot be cast is null) and ``other``, a map of the unknown columns.
-    Records of unknown files and texts that are no JSON object are left out. More
-    than MOST_COLUMNS names raise, as none may get lost.
+    that cannot be cast is null) and ``other``, a map of the unknown columns and of
+    keys that the headers lack; of several values under one such name the first
+    stays. Records of unknown files and texts that are no JSON object are left out;
+    a repeated file_id counts once. More than MOST_COLUMNS names raise, as none may
+    get lost.
     """
     names = aliases.where(F.col("column_name").isNotNull()).select("column_name").distinct().limit(MOST_COLUMNS + 1).collect()
     if len(names) > MOST_COLUMNS:
         raise ValueError(f"the alias table names more than {MOST_COLUMNS} columns")
     columns = sorted(r[0] for r in names)
-    heads = resolved_headers(files, aliases).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("header", F.struct("known", "column_name")))).alias("_names"))
-    keyed = files.select("file_id", "feed", "file_no").join(heads, "file_id")
-    rows = records.select("file_id", "row_no", F.from_json("record", "map<string,string>").alias("_m")).where(F.col("_m").isNotNull()).join(keyed, "file_id")
-    pick = lambda known: F.map_from_entries(
-        F.transform(
-            F.filter(F.map_entries("_m"), lambda e: F.try_element_at(F.col("_names"), e["key"])["known"] == F.lit(known)),
-            lambda e: F.struct(F.try_element_at(F.col("_names"), e["key"])["column_name"], e["value"]),
-        )
-    )
-    rows = rows.withColumn("_known", pick(True)).withColumn("other", pick(False))
+    # of equal headers of a file the first gives the name
+    first = resolved_headers(files, aliases).groupBy("file_id", "header").agg(F.min_by(F.struct("known", "column_name"), "pos").alias("_name"))
+    heads = first.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("header", "_name"))).alias("_names"))
+    keyed = files.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min_by("feed", F.coalesce("file_no", F.lit(0))).alias("feed"), F.min("file_no").alias("file_no")).join(heads, "file_id", "left")
+    rows = records.select("file_id", "row_no", F.map_entries(F.from_json("record", "map<string,string>")).alias("_e")).where(F.col("_e").isNotNull()).join(keyed, "file_id")
+    # a key that comes again in one record, and a key that the file's headers lack, are unknown columns
+    named = F.transform("_e", lambda e, i: F.struct(
+        e["key"].alias("key"), e["value"].alias("value"),
+        F.when(F.array_position(F.transform("_e", lambda x: x["key"]), e["key"]) == i + 1, F.try_element_at("_names", e["key"])).alias("name"),
+    ))
+    rows = rows.withColumn("_e", named)
+    known = lambda e: F.coalesce(e["name"]["known"], F.lit(False))
+    rows = rows.withColumn("_known", F.map_from_entries(F.transform(F.filter("_e", known), lambda e: F.struct(e["name"]["column_name"], e["value"]))))
+    rest = F.transform(F.filter("_e", lambda e: ~known(e)), lambda e: F.struct(F.coalesce(e["name"]["column_name"], e["key"]).alias("key"), e["value"].alias("value")))
+    rows = rows.withColumn("_o", rest)
+    rows = rows.withColumn("other", F.map_from_entries(F.filter("_o", lambda e, i: F.array_position(F.transform("_o", lambda x: x["key"]), e["key"]) == i + 1)))
 
     def cast(c: str) -> Column:
         text = F.try_element_at("_known", F.lit(c))

@@ -53,3 +53,28 @@ def test_unified(spark):
     got = {r["file_no"]: r for r in unified_records(*frames(spark, files, records)).where("src_ip is not null").collect()}
     assert (got[0]["src_ip"], got[0]["vsize"], got[0]["input_amounts"], got[0]["other"]) == ("a", 12, ["1", "2"], {"x": "1"})
     assert (got[1]["src_ip"], got[1]["vsize"], got[1]["input_amounts"]) == ("b", None, ["3", "4"])
+
+
+def test_a_header_twice(spark):
+    files = [(1, "f", 0, ["fee", "fee", "Ctry", "ctry ", "x"], ""), (1, "f", 0, ["fee"], "")]
+    records = [(1, 0, '{"fee": 1, "fee": 2, "Ctry": "DE", "ctry ": "FR", "x": 3, "late": 4}', "")]
+    f, r, _ = frames(spark, files[:1], records)
+    aliases = spark.createDataFrame([("fee", "fee_sats"), ("ctry", "geo_country")], "alias string, column_name string")
+    row = unified_records(f, r, aliases).first()
+    assert (row["fee_sats"], row["geo_country"]) == (1, "DE")
+    assert row["other"] == {"fee": "2", "ctry": "FR", "x": "3", "late": "4"}
+
+
+def test_nested_types_are_nodes():
+    field = lambda s, inner: {"spelling": s, "column_name": s, "known": False, "kind": "array", "inner": inner}
+    old, new = [field("a", ["STRING"]), field("b", ["BIGINT"])], [field("c", ["BIGINT"]), field("d", ["STRING"])]
+    assert sorted(select(flood(old, new))) == [(0, 1), (1, 0)]
+
+
+def test_numbers_with_gaps_only(spark, monkeypatch):
+    from peerlens.operators import drift, ordered
+
+    files = [(i, "f" if i % 3 else "g", (i * i) % 97 * 10, [f"h{i % 5}"], "") for i in range(40)]
+    want = run(spark, files, [])
+    monkeypatch.setattr(drift, "last_before", lambda *a, **k: ordered.last_before(*a, **k, hot_rows=4))
+    assert len(want) > 20 and run(spark, files, []) == want
