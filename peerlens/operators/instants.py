@@ -10,10 +10,12 @@ earlier instant and a skipped one with the offset in force before the change).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerlens.runtime import durable
+from peerlens.runtime import durable, shared_dir, skew_join
 
 # Characters trimmed from both ends of a raw text.
 BLANKS = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF\u200B"
@@ -116,18 +118,26 @@ def parse_instants(frame: DataFrame, raw: str = "raw", zone: str = "zone", order
     return step.withColumn(out, F.coalesce("_plain", value)).drop("_text", "_family", "_p", "_c", "_plain", "_off", "_whole")
 
 
+KEY = ["raw", "zone", "date_order"]
+
+
+def keyed_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` with no null in the key: an empty zone or order is unknown."""
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in KEY[1:]})
+
+
+def parse_new(texts: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(raw, zone, date_order, ts_us) of those distinct keyed ``texts`` that ``known`` lacks; ts_us null: no time."""
+    fresh = texts.select(*KEY) if known is None else texts.select(*KEY).join(known.select(*KEY), KEY, "left_anti")
+    return parse_instants(fresh.select(*KEY, *[F.when(F.col(c) != "", F.col(c)).alias(f"_{c}") for c in KEY[1:]]), zone="_zone", order="_date_order").select(*KEY, "ts_us")
+
+
 def instant_dictionary(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Distinct (raw, zone, date_order) of ``rows``, each parsed once.
+    """The new entries of ``rows``: distinct (raw, zone, date_order), each parsed once.
 
-    ``known`` is a dictionary of earlier runs; its entries are not parsed again.
-    Returns only the new entries: raw, zone, date_order, n_rows (of this call),
-    ts_us (null: no time).
+    ``known`` is the dictionary of earlier runs; its entries are neither parsed nor returned again.
     """
-    fresh = rows.where(F.col("raw").isNotNull()).groupBy("raw", "zone", "date_order").agg(F.count(F.lit(1)).alias("n_rows"))
-    if known is not None:
-        same = [fresh[c].eqNullSafe(known[c]) for c in ("raw", "zone", "date_order")]
-        fresh = fresh.join(known, same, "left_anti")
-    return parse_instants(fresh)
+    return parse_new(keyed_texts(rows.where(F.col("raw").isNotNull()).select(*KEY)).distinct(), known)
 
 
 def normalise_instants(
@@ -140,39 +150,30 @@ def normalise_instants(
 ) -> DataFrame:
     """(row_id, ts_us) of every row whose raw text is a time.
 
-    With ``dictionary_path`` the dictionary persists there and grows by the new
-    texts of each call. Null texts, other texts and impossible dates are left out.
-    Repeated rows keep one output row each; an unknown or null observer means UTC
-    and DMY; a repeated observer_id takes its smallest zone and order. An empty
-    table gives an empty result, and other columns of the inputs are ignored.
+    The dictionary persists at ``dictionary_path`` (null: a fresh one in the shared
+    folder) and grows by the new texts of each call; one call at a time may write to
+    it. Null texts, other texts and impossible dates are left out. Repeated rows keep
+    one output row each; an unknown or null observer means UTC and DMY; a repeated
+    observer_id takes its smallest zone and order. An empty table gives an empty
+    result, and other columns of the inputs are ignored.
     """
     spark = sealed.sparkSession
     # one row per observer: the table is small, but its size is left to the planner
     zones = observers.where(F.col("observer_id").isNotNull()).groupBy("observer_id").agg(F.min("tz").alias("zone"), F.min("date_order").alias("date_order"))
-    rows = (
-        sealed.select(F.col(id_col), F.col(raw_col).alias("raw"), "observer_id")
-        .where(F.col("raw").isNotNull())
-        .join(zones, "observer_id", "left")
-        .select(id_col, "raw", "zone", "date_order")
-    )
-    if dictionary_path:
-        known = None
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(dictionary_path)
-        if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-            known = spark.read.parquet(dictionary_path)
-        durable(instant_dictionary(rows, known), "instants").write.mode("append").parquet(dictionary_path)
-        dictionary = spark.read.parquet(dictionary_path)
-    else:
-        dictionary = durable(instant_dictionary(rows), "instants")
-    key = ["raw", "zone", "date_order"]
-    flat = [F.coalesce("zone", F.lit("")).alias("zone"), F.coalesce("date_order", F.lit("")).alias("date_order")]
-    found = dictionary.where(F.col("ts_us").isNotNull()).select("raw", *flat, "ts_us", "n_rows")
-    keyed = rows.select(id_col, "raw", *flat)
-    # texts with more than a thousandth of all rows are fewer than a thousand: they meet their instants by broadcast
-    total = dictionary.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
-    hot = found.where(F.col("n_rows") > max(hot_rows, total // 1_000)).drop("n_rows")
-    if hot.isEmpty():
-        return keyed.join(found, key).select(id_col, "ts_us")
-    hot = F.broadcast(durable(hot, "hot-instants"))
-    cold = keyed.join(hot, key, "left_anti").join(found, key)
-    return cold.select(id_col, "ts_us").unionByName(keyed.join(hot, key).select(id_col, "ts_us"))
+    rows = sealed.select(F.col(id_col), F.col(raw_col).alias("raw"), "observer_id").where(F.col("raw").isNotNull()).join(zones, "observer_id", "left")
+    keyed = keyed_texts(rows.select(id_col, *KEY))
+    # the texts of this call and how often each occurs now, whatever earlier calls saw
+    texts = durable(keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_rows")), "texts")
+    path = dictionary_path or f"{shared_dir(spark)}/instants-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.read.parquet(path) if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else None
+    parse_new(texts, known).write.mode("append").parquet(path)
+    found = spark.read.schema("raw string, zone string, date_order string, ts_us long").parquet(path).where(F.col("ts_us").isNotNull())
+    # texts with very many rows are split: their entries are met in several tasks
+    total, top = texts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.max("n_rows"), F.lit(0))).first()
+    bound = max(hot_rows, total // 20_000)
+    hot = None
+    if top > bound:
+        marks = [(r[0], -(-r[1] // bound)) for r in texts.where(F.col("n_rows") > bound).select(F.xxhash64(*KEY), "n_rows").collect()]
+        hot = spark.createDataFrame(marks, "_mark long, _salts int").groupBy("_mark").agg(F.max("_salts").alias("_salts"))
+    return skew_join(keyed, found, KEY, hot).select(id_col, "ts_us")

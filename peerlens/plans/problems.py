@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlens.operators import drift, hotkeys, instants, rejects, units
-from peerlens.runtime import table
+from peerlens.runtime import shared_dir, table
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -38,6 +39,15 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return instants.normalise_instants(table(spark, root, "sealed"), table(spark, root, "observers"))
 
 
+def p6_increments(spark: SparkSession, root: str) -> DataFrame:
+    """Problem 6 in two arrivals: the later half of the rows parses only texts that the earlier half lacked."""
+    sealed, observers = table(spark, root, "sealed"), table(spark, root, "observers")
+    cut = sealed.agg(F.percentile_approx("row_id", 0.5)).first()[0] or 0
+    path = f"{shared_dir(spark)}/instant-dictionary-{uuid.uuid4().hex}"
+    early, late = (instants.normalise_instants(sealed.where(c), observers, path) for c in (F.col("row_id") <= cut, F.col("row_id") > cut))
+    return early.unionByName(late)
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return rejects.rejected(table(spark, root, "capture_lines"))
 
@@ -47,7 +57,7 @@ def p7_loaded(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p4_found, p4_share, p5_found, p5_table, p6_found, p7_found, p7_loaded)
+    f.__name__: f for f in (p2_found, p4_found, p4_share, p5_found, p5_table, p6_found, p6_increments, p7_found, p7_loaded)
 }
 
 ORACLES: dict[str, str] = {
@@ -98,3 +108,6 @@ ORACLES: dict[str, str] = {
             WHEN c[9] = '' THEN 'no_outputs' END AS reject_reason FROM x)
         SELECT line_id, reject_reason FROM r WHERE reject_reason IS NOT NULL""",
 }
+
+_CELLS = ORACLES["p7_found"].rsplit("SELECT line_id, reject_reason FROM r", 1)[0]
+ORACLES["p7_loaded"] = _CELLS + " SELECT line_id, source_file, line_no, " + ", ".join(f"""nullif(replace(c[{i}], '""', '"'), '') AS "{c}\"""" for i, c in enumerate(rejects.COLUMNS, 1)) + " FROM x JOIN r USING (line_id) JOIN capture_lines USING (line_id) WHERE reject_reason IS NULL"

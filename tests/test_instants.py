@@ -85,6 +85,16 @@ def test_dictionary_grows(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3  # nothing was parsed twice
 
 
+def test_text_that_becomes_hot_later_is_split(spark, tmp_path):
+    schema = "row_id long, ts_raw string, observer_id string"
+    obs = spark.createDataFrame([("a", "UTC", None)], "observer_id string, tz string, date_order string")
+    path = str(tmp_path / "dictionary")
+    assert normalise_instants(spark.createDataFrame([(1, "1735691510", "a")], schema), obs, path).count() == 1
+    later = normalise_instants(spark.createDataFrame([(i, "1735691510", "a") for i in range(90)] + [(99, "1735691511", "a")], schema), obs, path, hot_rows=30)
+    assert "_salt" in later._jdf.queryExecution().optimizedPlan().toString()
+    assert later.count() == 91 and spark.read.parquet(path).count() == 2
+
+
 def test_dictionary_is_distinct(spark):
     rows = spark.createDataFrame([("1735691510", None, None)] * 5, "raw string, zone string, date_order string")
     assert instant_dictionary(rows).count() == 1
