@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from peerlens.runtime import durable
+from peerlens.runtime import discard, durable, hot_keys, skew_join
 
 # Letters of several scripts that look alike, one class a line, plain letter first.
 LOOKALIKES = """
@@ -224,7 +224,7 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 100_000) -> DataFrame:
     """(doc_id_a, doc_id_b), smaller id first, of unequal texts that look the same.
 
     Null and empty texts pair with nothing; equal texts do not pair with each
@@ -237,10 +237,14 @@ def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
     marks = durable(spread(slim).mapInPandas(_digests, "doc long, form binary, exact binary"), "forms")
     # forms with more than one spelling, by a map-side combined minimum and maximum
     mixed = marks.groupBy("form").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select("form")
-    spellings = durable(marks.join(mixed, "form", "left_semi").select("form", "exact", "doc"), "spellings")
-    kinds = spellings.select("form", "exact").distinct()
-    pairs = kinds.select("form", F.col("exact").alias("a")).join(kinds.select("form", F.col("exact").alias("b")), "form").where("a < b").select("form", "a", "b")
+    spellings = durable(skew_join(marks, mixed, "form", hot_keys(marks, "form", least=hot_rows)).select("form", "exact", "doc"), "spellings")
+    kinds = durable(spellings.select("form", "exact").distinct(), "kinds")
+    discard(marks)
+    # a form with very many spellings, and a spelling with very many documents, are split; their pairs are the result
+    many = hot_keys(kinds, "form", least=hot_rows)
+    pairs = skew_join(kinds.select("form", F.col("exact").alias("a")), kinds.select("form", F.col("exact").alias("b")), "form", many).where("a < b").select("form", "a", "b")
+    copies = hot_keys(spellings, ["form", "exact"], least=hot_rows)
     docs_a = spellings.select("form", F.col("exact").alias("a"), F.col("doc").alias("doc_a"))
     docs_b = spellings.select("form", F.col("exact").alias("b"), F.col("doc").alias("doc_b"))
-    full = pairs.join(docs_a, ["form", "a"]).join(docs_b, ["form", "b"])
+    full = skew_join(docs_b, skew_join(docs_a, pairs, ["form", "a"], copies), ["form", "b"], copies)
     return full.select(F.least("doc_a", "doc_b").alias(f"{id_col}_a"), F.greatest("doc_a", "doc_b").alias(f"{id_col}_b")).where(F.col(f"{id_col}_a") != F.col(f"{id_col}_b"))

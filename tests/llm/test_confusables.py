@@ -52,6 +52,15 @@ def test_copies_never_meet_each_other(spark):
     assert len(got) == 601
 
 
+def test_hot_forms_and_spellings_are_split(spark):
+    spellings = ["pay", "раy", "рay", "pаy", "paу", "рaу", "раyу"[:3], "p​ay", "ｐａｙ"]
+    rows = [(i, spellings[0] if i % 3 else spellings[1 + i % 8], "") for i in range(240)] + [(1_000, "other", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain, split = (sorted(map(tuple, look_alike_pairs(df, hot_rows=n).collect())) for n in (100_000, 4))
+    texts = {i: t for i, t, _ in rows}
+    assert plain == split == sorted((a, b) for a in range(240) for b in range(a + 1, 240) if texts[a] != texts[b])
+
+
 def test_empty_and_forms(spark):
     assert look_alike_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
     got = {r["doc_id"]: r["form"] for r in normalised_texts(spark.createDataFrame([(1, None, ""), (2, "ａ\tb", "")], SCHEMA)).collect()}
