@@ -1,13 +1,15 @@
-"""Evaluation texts inside a corpus (problem 9): latent semantic retrieval of runs, exact search of paraphrases.
-
-Passages are runs of ``WIDTH`` words. Terms are weighted by TF-IDF over all
-passages of the corpus, a randomised singular value decomposition, computed in
-distributed passes, gives every term a latent vector, and a passage is the sum of
-its terms' vectors. Vectors are whole numbers (fixed point), so equal passages
-have equal latent vectors on any machine and in any order of summation. Candidates
-are passages whose latent sign patterns agree and whose cosine is high; they are
-verified by the common run of words. Paraphrases need no latent vectors: a passage
-is met by its rarest words, and verified by the longest common subsequence of words.
+"""Evaluation texts inside a corpus (problem 9): latent semantic retrieval, then checks of runs and subsequences.
+
+Passages are runs of ``WIDTH`` words. Words are weighted by TF-IDF over all passages
+and all words of the corpus (words hash to ``COLUMNS`` columns, so no vocabulary is
+built, broadcast or kept), a randomised singular value decomposition, computed in
+distributed passes, gives every column a latent vector, and a passage is the sum of
+its words' vectors. Vectors are whole numbers (fixed point), so equal passages have
+equal latent vectors on any machine and in any order of summation. Candidates are
+passages whose latent sign patterns agree and whose cosine is high; they are verified
+by the common run of words. Paraphrases may miss two words, which no latent cosine
+guarantees to find; they are met by the passage's rarest words, which does, and
+verified by the longest common subsequence of words and the answer.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerlens.llm.confusables import one_form, spread
@@ -26,16 +29,18 @@ from peerlens.runtime import durable
 
 # Words of a passage: the shortest leak that counts.
 WIDTH = 10
-# Latent dimensions, extra dimensions of the random sketch, passes of power iteration.
-RANK, EXTRA, POWER = 24, 8, 1
+# Columns of the term space (a power of two), latent dimensions, extra dimensions of the random sketch, passes of power iteration.
+COLUMNS, RANK, EXTRA, POWER = 1 << 13, 24, 8, 1
 # Fixed-point scale of a latent coordinate.
 SCALE = 1 << 16
-# Items whose passages form one block of queries; more items take more blocks.
-BLOCK_ITEMS = 20_000
+# Words of the items in one block of queries; it bounds what is broadcast at once (some 60 MB).
+BLOCK_WORDS = 400_000
 # Cosine from which a candidate passage goes to verification.
 EXACT_COSINE = 0.999
 # A paraphrase shares this many words of an item passage, in order, with a run of SPAN words of the document.
 NEED, SPAN = 8, 2 * WIDTH
+# Words whose ids a worker keeps.
+CACHE_WORDS = 500_000
 
 
 # Runs of letters and digits: word characters without the underscore.
@@ -47,9 +52,28 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(one_form(text).lower()) if text else []
 
 
+_IDS: dict[str, int] = {}
+
+
+def word_ids(text: str | None) -> list[int]:
+    """64-bit ids of the words of a text: their hashes, the same on any machine.
+
+    Two of a billion different words share an id with a chance of 3 in 100, and such
+    a pair matters only where nine neighbours agree too.
+    """
+    if len(_IDS) > CACHE_WORDS:
+        _IDS.clear()
+    out = []
+    for w in words(text):
+        if (i := _IDS.get(w)) is None:
+            i = _IDS[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        out.append(i)
+    return out
+
+
 @dataclass
 class Items:
-    """A block of evaluation items as term numbers."""
+    """A block of evaluation items as word ids."""
 
     item_ids: np.ndarray  # item of each passage
     starts: np.ndarray  # start of each passage in ``terms``
@@ -57,34 +81,48 @@ class Items:
     answers: dict[int, list[int]]
 
 
-def load_items(items: list, vocabulary: dict[str, int]) -> Items:
-    """Passages of a block of items; items shorter than a passage have none."""
+def blocks(items: DataFrame) -> Iterator[Items]:
+    """The items in blocks of about BLOCK_WORDS words; a longer item goes on in the next block."""
     ids, starts, terms, answers = [], [], [], {}
-    for row in items:
-        seq = [vocabulary[w] for w in words(row["item_text"])]
-        base = len(terms)
-        terms += seq
-        for k in range(len(seq) - WIDTH + 1):
-            ids.append(row["item_id"])
-            starts.append(base + k)
-        answers[row["item_id"]] = [vocabulary[w] for w in words(row["answer"]) if w in vocabulary]
-    return Items(np.array(ids, np.int64), np.array(starts, np.int64), np.array(terms, np.int32), answers)
 
+    def made() -> Items:
+        return Items(np.array(ids, np.int64), np.array(starts, np.int64), np.array(terms, np.int64), answers)
 
-def corpus_terms(documents: DataFrame, vocabulary: dict[str, int], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, terms): each text as term numbers; -1 for words of no item."""
-    known = documents.sparkSession.sparkContext.broadcast(vocabulary)
+    for row in items.orderBy("item_id").toLocalIterator():
+        seq, answer = word_ids(row["item_text"]), word_ids(row["answer"])
+        for at in range(0, max(1, len(seq) - WIDTH + 1), BLOCK_WORDS):
+            part = seq[at : at + BLOCK_WORDS + WIDTH - 1]
+            if len(part) < WIDTH:
+                continue
+            base = len(terms)
+            terms += part
+            ids += [row["item_id"]] * (len(part) - WIDTH + 1)
+            starts += range(base, base + len(part) - WIDTH + 1)
+            answers[row["item_id"]] = sorted(set(answer))
+            if len(terms) >= BLOCK_WORDS:
+                yield made()
+                ids, starts, terms, answers = [], [], [], {}
+    if starts:
+        yield made()
+
+
+def corpus_terms(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, terms): each text as word ids."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 part = batch.slice(at, 1_000)
-                seqs = [[get(w, -1) for w in words(t)] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(seqs, pa.list_(pa.int32()))], names=["doc", "terms"])
+                seqs = [word_ids(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(seqs, pa.list_(pa.int64()))], names=["doc", "terms"])
 
     slim = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_col)
-    return durable(spread(slim).mapInArrow(number, "doc long, terms array<int>"), "terms")
+    return durable(spread(slim).mapInArrow(number, "doc long, terms array<long>"), "terms")
+
+
+def columns_of(terms: np.ndarray) -> np.ndarray:
+    """Column of each word in the term space."""
+    return terms & np.int64(COLUMNS - 1)
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -101,26 +139,25 @@ def _passages(terms: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[1, (doc[1:] != doc[:-1]) | (inside[1:] % WIDTH == 0)]) - 1 if len(doc) else inside
 
 
-def document_frequencies(corpus: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """Passages of the whole corpus that hold each term, and their number."""
+def document_frequencies(corpus: DataFrame) -> tuple[np.ndarray, int]:
+    """Passages of the whole corpus that hold each column, and their number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(size, np.int64), 0
+        total, n = np.zeros(COLUMNS, np.int64), 0
         for batch in batches:
             terms, doc = _flat(batch)
             if not len(terms):
                 continue
             passage = _passages(terms, doc)
             n += int(passage[-1]) + 1
-            known = terms >= 0
-            pairs = np.unique(passage[known] * np.int64(size) + terms[known])
-            total += np.bincount((pairs % size).astype(np.int64), minlength=size)
+            pairs = np.unique(passage * np.int64(COLUMNS) + columns_of(terms))
+            total += np.bincount(columns_of(pairs), minlength=COLUMNS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[total[at], n].astype(np.int64))], names=["term", "n"])
 
-    # one row per term of the item vocabulary, however large the corpus
+    # one row per column, however large the corpus
     rows = corpus.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(size, np.int64), 0
+    df, n = np.zeros(COLUMNS, np.int64), 0
     for r in rows:
         if r["term"] < 0:
             n = r["n"]
@@ -132,81 +169,75 @@ def document_frequencies(corpus: DataFrame, size: int) -> tuple[np.ndarray, int]
 def gram_product(corpus: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis) for the TF-IDF passage matrix A of the whole corpus.
 
-    Each task sums over its own passages; one vector per vocabulary term leaves
-    a task, and those are added up in a shuffle by term.
+    Each task sums over its own passages; one vector per column leaves a task,
+    and those are added up in a shuffle by column.
     """
-    size, width = basis.shape
-    shared = corpus.sparkSession.sparkContext.broadcast((weights, basis * weights[:, None]))
+    width = basis.shape[1]
+    shared = corpus.sparkSession.sparkContext.broadcast((weights, (basis * weights[:, None]).astype(np.float32)))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, weighted = shared.value
-        total = np.zeros((size, width))
+        total = np.zeros((COLUMNS, width))
         for batch in batches:
             terms, doc = _flat(batch)
             if not len(terms):
                 continue
-            passage = _passages(terms, doc)
-            known = terms >= 0
-            terms, passage = terms[known], passage[known]
+            passage, terms = _passages(terms, doc), columns_of(terms)
             for at in range(0, len(terms), 200_000):
                 # cut between passages
                 lo = at if at == 0 else int(np.searchsorted(passage, passage[at], "left"))
                 hi = len(terms) if at + 200_000 >= len(terms) else int(np.searchsorted(passage, passage[at + 200_000], "left"))
                 if lo >= hi:
                     continue
-                t, p = terms[lo:hi], passage[lo:hi]
-                first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                y = np.add.reduceat(weighted[t], first, axis=0)
-                back = np.repeat(y, np.diff(np.r_[first, len(p)]), axis=0)
-                for c in range(width):
-                    total[:, c] += np.bincount(t, weights=back[:, c], minlength=size)
+                t, p = terms[lo:hi], passage[lo:hi] - passage[lo]
+                y = np.add.reduceat(weighted[t], np.flatnonzero(np.r_[True, p[1:] != p[:-1]]), axis=0)
+                # columns fit 16 bits, whose stable sort is linear: the passages of each column lie together
+                order = np.argsort(t.astype(np.int16), kind="stable")
+                t = t[order]
+                first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                total[t[first]] += np.add.reduceat(y[p[order]], first, axis=0)
         total *= idf[:, None]
         at = np.flatnonzero(np.any(total != 0, axis=1))
         vectors = pa.FixedSizeListArray.from_arrays(pa.array(total[at].ravel()), width).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), vectors], names=["term", "v"])
 
     sums = [F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)]
-    out = np.zeros((size, width))
+    out = np.zeros((COLUMNS, width))
     for r in corpus.mapInArrow(product, "term int, v array<double>").groupBy("term").agg(*sums).collect():
         out[r["term"]] = r[1:]
     return out
 
 
-def latent_terms(corpus: DataFrame, size: int, seed: int = 9) -> np.ndarray:
-    """Fixed-point latent vector of every item term, from all corpus passages.
+def latent_terms(corpus: DataFrame, seed: int = 9) -> np.ndarray:
+    """Fixed-point latent vector of every column, from all words of all corpus passages.
 
     Randomised SVD: a random sketch of the term space is driven through the
     corpus 1 + POWER times and orthonormalised, and the small Gram matrix in that
-    basis is decomposed. Terms that the corpus lacks get pseudo-random vectors of
-    their own, so that they too tell passages apart; every term gets a
-    pseudo-random part for the same reason, of an expected length no smaller than
-    its latent part. The exact search thus tells passages apart mostly by a hash of
-    their terms, which loses nothing, as equal passages have equal vectors.
+    basis is decomposed. A term's vector is its row of the right singular vectors,
+    weighted by its TF-IDF weight and whitened by the singular values, as frequent
+    directions would otherwise give all passages the same signs.
     """
-    df, n = document_frequencies(corpus, size)
+    df, n = document_frequencies(corpus)
     idf = np.log((1 + n) / (1 + df)) + 1.0
     rng = np.random.default_rng(seed)
-    width = min(RANK + EXTRA, size)
-    basis = np.linalg.qr(rng.standard_normal((size, width)))[0]
+    basis = np.linalg.qr(rng.standard_normal((COLUMNS, RANK + EXTRA)))[0]
     for _ in range(POWER):
         basis = np.linalg.qr(gram_product(corpus, idf, basis))[0]
     image = gram_product(corpus, idf, basis)
     values, rotation = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
-    rank = min(RANK, width)
-    vectors = (basis @ rotation[:, ::-1])[:, :rank]
-    # whiten: frequent directions would otherwise give all passages the same signs
-    strength = np.sqrt(np.maximum(values[::-1][:rank], 0)) / np.sqrt(max(n, 1))
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    noise = rng.standard_normal((size, rank)) / np.sqrt(rank)
-    level = np.median(norm[norm > 0]) if np.any(norm > 0) else 1.0
-    mixed = vectors / (1 + strength) + noise * np.where(df[:, None] > 0, np.maximum(norm, level), level)
-    return np.rint(mixed * idf[:, None] / np.abs(mixed * idf[:, None]).max() * SCALE).astype(np.int32) if size else np.zeros((0, rank), np.int32)
+    vectors = (basis @ rotation[:, ::-1])[:, :RANK] * idf[:, None]
+    strength = np.sqrt(np.maximum(values[::-1][:RANK], 0))
+    vectors /= np.maximum(strength, max(strength[0], 1e-12) * 1e-6)
+    # every coordinate on one scale of its own, so that each sign counts alike
+    spread_of = np.maximum(np.abs(vectors).max(axis=0, keepdims=True), 1e-12)
+    return np.rint(vectors / spread_of * SCALE).astype(np.int32)
 
 
 def _window_vectors(terms: np.ndarray, starts: np.ndarray, latent: np.ndarray) -> np.ndarray:
-    total = latent[terms[starts]].copy()
+    at = columns_of(terms)
+    total = latent[at[starts]].copy()
     for k in range(1, WIDTH):
-        total += latent[terms[starts + k]]
+        total += latent[at[starts + k]]
     return total
 
 
@@ -217,6 +248,12 @@ def _codes(vectors: np.ndarray, bits: range) -> np.ndarray:
     return code
 
 
+def numbered(terms: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Position of each word among the ordered known ones, or -1: small numbers compare faster than ids."""
+    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    return np.where(known[at] == terms, at, -1).astype(np.int32)
+
+
 def match_masks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each row and column of ``b`` the columns of ``a`` (at most 30) that hold its value, as bits."""
     masks = np.zeros(b.shape, np.int32)
@@ -250,10 +287,11 @@ def _exact_search(corpus: DataFrame, block: Items, latent: np.ndarray) -> DataFr
     vectors = _window_vectors(block.terms, block.starts, latent)
     codes = _codes(vectors, range(rank))
     order = np.argsort(codes, kind="stable")
-    shared = corpus.sparkSession.sparkContext.broadcast((codes[order], vectors[order], block.starts[order], block.item_ids[order], block.terms, latent))
+    known = np.unique(block.terms)
+    shared = corpus.sparkSession.sparkContext.broadcast((codes[order], vectors[order], block.starts[order], block.item_ids[order], numbered(block.terms, known), latent, known))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, items_v, items_at, items_id, items_t, lat = shared.value
+        keys, items_v, items_at, items_id, items_t, lat, words_of_items = shared.value
         norms = np.linalg.norm(items_v.astype(np.float64), axis=1)
         for batch in batches:
             terms, doc = _flat(batch)
@@ -262,7 +300,8 @@ def _exact_search(corpus: DataFrame, block: Items, latent: np.ndarray) -> DataFr
                 continue
             # starts of passages inside one document whose words all occur in items: a passage with
             # another word differs from every item passage
-            unknown = np.cumsum(np.r_[0, terms < 0])
+            words_at = numbered(terms, words_of_items)
+            unknown = np.cumsum(np.r_[0, words_at < 0])
             starts = np.arange(len(terms) - WIDTH + 1)
             ok = (unknown[starts + WIDTH] == unknown[starts]) & (doc[starts] == doc[starts + WIDTH - 1])
             starts = starts[ok]
@@ -286,7 +325,7 @@ def _exact_search(corpus: DataFrame, block: Items, latent: np.ndarray) -> DataFr
                     q, k = q[near], k[near]
                     same = np.ones(len(q), bool)  # the common run must be the whole passage
                     for w in range(WIDTH):
-                        same &= terms[s[q] + w] == items_t[items_at[k] + w]
+                        same &= words_at[s[q] + w] == items_t[items_at[k] + w]
                     docs_out.append(ids[doc[s[q[same]]]])
                     items_out.append(items_id[k[same]])
             if docs_out:
@@ -312,15 +351,17 @@ def _near_search(corpus: DataFrame, block: Items, frequency: np.ndarray) -> Data
     occurrence of such a word in a document is a candidate, and no pair is lost.
     """
     anchors = WIDTH - NEED + 1
-    passages = block.terms[block.starts[:, None] + np.arange(WIDTH)]
-    rarest = np.argsort(frequency[passages], axis=1, kind="stable")[:, :anchors]
+    known = np.unique(block.terms)
+    at = block.starts[:, None] + np.arange(WIDTH)
+    passages = numbered(block.terms, known)[at]
+    rarest = np.argsort(frequency[columns_of(block.terms[at])], axis=1, kind="stable")[:, :anchors]
     keys = np.unique(np.stack([np.take_along_axis(passages, rarest, 1).ravel().astype(np.int64), np.repeat(np.arange(len(passages)), anchors)], axis=1), axis=0)
-    bounds = np.searchsorted(keys[:, 0], np.arange(len(frequency) + 1))
-    answers = {k: sorted(set(v)) for k, v in block.answers.items() if v}
-    shared = corpus.sparkSession.sparkContext.broadcast((passages, block.item_ids, bounds, keys[:, 1].astype(np.int32), answers))
+    bounds = np.searchsorted(keys[:, 0], np.arange(len(known) + 1))
+    answers = {k: v for k, v in block.answers.items() if v}
+    shared = corpus.sparkSession.sparkContext.broadcast((passages, block.item_ids, known, bounds, keys[:, 1].astype(np.int32), answers))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, items_id, bounds, listed, answers = shared.value
+        passages, items_id, known, bounds, listed, answers = shared.value
         many_of = np.diff(bounds)
         reach = np.arange(1 - SPAN, SPAN)
         for batch in batches:
@@ -331,9 +372,10 @@ def _near_search(corpus: DataFrame, block: Items, frequency: np.ndarray) -> Data
             first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             length = np.diff(np.r_[first, len(terms)])
             begin, end = np.repeat(first, length), np.repeat(first + length, length)
-            at = np.flatnonzero(terms >= 0)
-            at = at[many_of[terms[at]] > 0]
-            many = many_of[terms[at]]
+            words_at = numbered(terms, known)
+            at = np.flatnonzero(words_at >= 0)
+            at = at[many_of[words_at[at]] > 0]
+            many = many_of[words_at[at]]
             ends = np.cumsum(many)
             total = int(ends[-1]) if len(ends) else 0
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -341,11 +383,10 @@ def _near_search(corpus: DataFrame, block: Items, frequency: np.ndarray) -> Data
                 n = np.arange(lo, min(total, lo + 20_000))
                 word = np.searchsorted(ends, n, "right")
                 p = at[word]
-                k = listed[bounds[terms[p]] + n - (ends[word] - many[word])]
+                k = listed[bounds[words_at[p]] + n - (ends[word] - many[word])]
                 where = p[:, None] + reach
                 ok = (where >= begin[p][:, None]) & (where < end[p][:, None])
-                around = np.where(ok, terms[np.clip(where, 0, len(terms) - 1)], -1)
-                masks = match_masks(passages[k], around)
+                masks = np.where(ok, match_masks(passages[k], words_at[np.clip(where, 0, len(terms) - 1)]), 0)
                 # what the words allow in any order, then in order over all windows around the word, then in each window
                 may = np.flatnonzero(np.bitwise_count(np.bitwise_or.reduce(masks, axis=1)) >= NEED)
                 may = may[masked_subsequences(masks[may], WIDTH) >= NEED]
@@ -372,31 +413,16 @@ def _near_search(corpus: DataFrame, block: Items, frequency: np.ndarray) -> Data
 
 
 def _run(documents: DataFrame, items: DataFrame, statistics, search, schema: str, id_col: str, text_col: str) -> DataFrame:
-    spark: SparkSession = documents.sparkSession
     asked = items.where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "item_text", "answer")
     out: DataFrame | None = None
-    block: list = []
-
-    def finish(out: DataFrame | None, block: list) -> DataFrame:
-        vocabulary: dict[str, int] = {}
-        for row in block:
-            for w in words(row["item_text"]) + words(row["answer"]):
-                vocabulary.setdefault(w, len(vocabulary))
-        if not vocabulary:
-            return out if out is not None else spark.createDataFrame([], schema)
-        loaded = load_items(block, vocabulary)
-        if not len(loaded.starts):
-            return out if out is not None else spark.createDataFrame([], schema)
-        corpus = corpus_terms(documents, vocabulary, id_col, text_col)
-        found = search(corpus, loaded, statistics(corpus, len(vocabulary)))
-        return found if out is None else out.unionByName(found)
-
-    # the stated query set, in blocks: a block bounds what is broadcast at once
-    for row in asked.orderBy("item_id").toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK_ITEMS:
-            out, block = finish(out, block), []
-    return finish(out, block) if block or out is None else out
+    # the stated query set, in blocks; corpus and statistics do not depend on them
+    for block in blocks(asked):
+        if out is None:
+            corpus = corpus_terms(documents, id_col, text_col)
+            known = statistics(corpus)
+        found = search(corpus, block, known)
+        out = found if out is None else out.unionByName(found)
+    return documents.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,5 +443,5 @@ def paraphrases(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     ten words; the search is exact); answered tells whether the document holds all words of
     the item's answer. Rules for nulls and empty tables as in :func:`leaks`.
     """
-    found = _run(documents, items, lambda corpus, size: document_frequencies(corpus, size)[0], _near_search, "doc_id long, item_id long, score double, answered boolean", id_col, text_col)
+    found = _run(documents, items, lambda corpus: document_frequencies(corpus)[0], _near_search, "doc_id long, item_id long, score double, answered boolean", id_col, text_col)
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.bool_or("answered").alias("answered"))

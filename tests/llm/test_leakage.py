@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from peerlens.llm.leakage import WIDTH, common_subsequences, leaks, paraphrases, words
+from peerlens.llm import leakage
+from peerlens.llm.leakage import WIDTH, columns_of, common_subsequences, corpus_terms, latent_terms, leaks, paraphrases, word_ids, words
 
 DOCS = "doc_id long, text string, item_id string"
 ITEMS = "item_id long, suite string, item_text string, answer string, doc_id string"
@@ -125,3 +126,35 @@ def test_paraphrases_against_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
     # whatever holds a whole passage is a paraphrase too
     assert brute([d for d in docs if d[1]], items) <= set(want)
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    docs, items = edited_corpus(6)
+    items.append((95, "s", " ".join(f"w{i % 397}" for i in range(900)), "w1", ""))  # longer than a block
+    docs.append((950, " ".join(f"w{i % 397}" for i in range(250, 270)), ""))
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    whole = [sorted(tuple(r) for r in f(d, i).collect()) for f in (leaks, paraphrases)]
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 100)
+    assert [sorted(tuple(r) for r in f(d, i).collect()) for f in (leaks, paraphrases)] == whole
+    assert (950, 95) in whole[0]
+
+
+def test_latent_space_knows_topics(spark):
+    rng = random.Random(8)
+    topics = [[f"t{k}w{i}" for i in range(30)] for k in range(4)]
+    docs = [(d, " ".join(rng.choice(topics[d % 4]) for _ in range(30)), "") for d in range(400)]
+    latent = latent_terms(corpus_terms(spark.createDataFrame(docs, DOCS), "doc_id", "text")).astype(float)
+
+    def vector(k, at):
+        v = sum(latent[columns_of(np.array(word_ids(f"t{k}w{i}")))[0]] for i in at)
+        return v / np.linalg.norm(v)
+
+    # passages of one topic without a common word are near, those of two topics are not
+    near = [vector(k, range(10)) @ vector(k, range(10, 20)) for k in range(4)]
+    far = [vector(k, range(10)) @ vector(j, range(10, 20)) for k in range(4) for j in range(4) if j != k]
+    assert np.mean(near) > np.mean(far) + 0.15
+
+
+def test_ids_are_the_same_everywhere():
+    assert word_ids("A b, a_b") == [*word_ids("a"), *word_ids("B"), *word_ids("a"), *word_ids("b")]
+    assert word_ids(None) == [] and len({word_ids(str(i))[0] for i in range(5_000)}) == 5_000
