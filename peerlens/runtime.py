@@ -75,6 +75,7 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     planner, so later joins choose their strategy from facts.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -84,6 +85,7 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: as :func:`durable`, but partitions and order stay."""
+    ship(df.sparkSession)
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
