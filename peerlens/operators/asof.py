@@ -83,22 +83,13 @@ def cidr_bounds(network):
 def cidr_lookup(ips: DataFrame, blocks: DataFrame, ip: str, network: str, payload: list[str]) -> DataFrame:
     """Each address with the payload of the block that holds it, else null.
 
-    Blocks are taken not to overlap; malformed blocks and addresses match
-    nothing. Meant for distinct addresses. The first hex digits of the key
-    spread one family over many partitions; blocks wider than that are listed
-    once per part they cover.
+    Blocks are taken not to overlap; of blocks that begin at one address any may
+    count. Malformed blocks and addresses match nothing. Each address meets the
+    last block that begins at or before it, family by family; the as-of join
+    splits a family of very many rows into ranges, so a block is never listed twice.
     """
-    lead = 5  # family and the leading digits that are compared exactly
-    left = ips.withColumn("_k", ip_key(F.col(ip)))
-    # IPv4 keys have 24 leading zeros after the family; their own digits start at 26
-    part = lambda k: F.when(k.startswith("4"), F.concat(F.lit("4"), F.substring(k, 26, 2))).otherwise(F.substring(k, 1, lead))
-    b = blocks.select(cidr_bounds(F.col(network)).alias("_b"), *payload).where(F.col("_b").isNotNull()).select("_b.low", "_b.high", *payload)
-    number = lambda k: F.conv(F.when(k.startswith("4"), F.substring(k, 26, 2)).otherwise(F.substring(k, 2, lead - 1)), 16, 10).cast("int")
-    covered = F.sequence(number(F.col("low")), number(F.col("high")))
-    width = F.when(F.col("low").startswith("4"), 2).otherwise(lead - 1)
-    b = b.withColumn("_n", F.explode(covered)).withColumn("_part", F.concat(F.substring("low", 1, 1), F.lpad(F.lower(F.hex("_n")), width, F.lit("0"))))
-    start = F.when(F.col("low").startswith("4"), F.concat(F.lit("4" + "0" * 24), F.substring("_part", 2, 2))).otherwise(F.col("_part"))
-    b = b.withColumn("_from", F.greatest(F.col("low"), F.rpad(start, 33, "0"))).select("_part", "_from", "high", *payload)
-    joined = asof_join(left.withColumn("_part", part(F.col("_k"))), b, ["_part"], "_k", "_from", ["high", *payload])
-    inside = F.col("_k") <= F.col("high")
+    left = ips.withColumn("_k", ip_key(F.col(ip))).withColumn("_family", F.substring("_k", 1, 1))
+    b = blocks.select(cidr_bounds(F.col(network)).alias("_b"), *payload).where(F.col("_b").isNotNull()).select(F.substring("_b.low", 1, 1).alias("_family"), F.col("_b.low").alias("_low"), F.col("_b.high").alias("_high"), *payload)
+    joined = asof_join(left, b, ["_family"], "_k", "_low", ["_high", *payload])
+    inside = F.col("_k") <= F.col("_high")
     return joined.select(*[F.col(c) for c in ips.columns], *[F.when(inside, F.col(p)).alias(p) for p in payload])

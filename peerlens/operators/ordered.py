@@ -94,10 +94,9 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, out: str, range_ro
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_total(counts, keys, [F.col(value).asc()], "_n", "_upto", range_rows)
-    totals = placed.groupBy(*keys).agg(F.max("_upto").alias("_all"))
     # one row per group: its size is left to the planner
-    same = [placed[k].eqNullSafe(totals[k]) for k in keys]
-    both = placed.join(totals, same).select(*[placed[k] for k in keys], value, "_upto", "_all") if keys else placed.join(F.broadcast(totals))
+    totals = placed.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.max("_upto").alias("_all"))
+    both = placed.join(totals, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]) if keys else placed.join(F.broadcast(totals))
     low = F.min(F.when(F.col("_upto") >= F.floor((F.col("_all") + 1) / 2), F.col(value)))
     high = F.min(F.when(F.col("_upto") >= F.floor(F.col("_all") / 2) + 1, F.col(value)))
     return both.groupBy(*keys).agg(((low + high) / 2).alias(out))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerlens.functions.text import hash_id
@@ -29,20 +27,29 @@ def sent(tx: DataFrame, subject_map: DataFrame) -> DataFrame:
 def hits(sent_rows: DataFrame) -> DataFrame:
     """(hit_id, typology, subject_id, txids, strength, threshold) of all four detectors.
 
-    All detectors share one grouping per subject; null amounts satisfy none.
+    All detectors share one grouping per subject; null amounts satisfy none. The
+    lists of transactions are part of the contract, so a subject's list is as long
+    as its matching sends.
     """
-    def detect(name: str, rows: Column, strength: Column, having: Column, threshold: float) -> DataFrame:
-        found = sent_rows.where(rows).groupBy("subject_id").agg(F.array_sort(F.collect_set("txid")).alias("txids"), strength.alias("strength"), having.alias("_ok")).where("_ok")
-        return found.select(hash_id(F.concat(F.lit(f"{name}:"), "subject_id")).alias("hit_id"), F.lit(name).alias("typology"), "subject_id", "txids", F.col("strength").cast("double").alias("strength"), F.lit(float(threshold)).alias("threshold"))
-
     total = F.col("total_out_sats")
-    n, mean = F.count(total), F.avg(total)
-    return reduce(DataFrame.unionByName, [
-        detect("fan_out", F.col("n_out") >= FAN_OUT, F.max("n_out"), F.lit(True), FAN_OUT),
-        detect("coinjoin_like", F.col("has_equal_outputs") & (F.col("n_out") >= EQUAL_OUT), F.count(F.lit(1)), F.lit(True), EQUAL_OUT),
-        detect("peel_chain", (F.col("n_out") == 2) & (F.col("min_out_sats") <= PEEL_SHARE * total), F.count(F.lit(1)), F.count(F.lit(1)) >= 2, PEEL_SHARE),
-        detect("structuring", (F.col("n_out") == 1) & total.isNotNull(), n, (n >= PAYMENTS) & (mean > 0) & (F.stddev_samp(total) <= SPREAD * mean), SPREAD),
-    ])
+    rules = {
+        "fan_out": (F.col("n_out") >= FAN_OUT, lambda c: F.max(F.when(c, F.col("n_out"))), lambda n, c: n > 0, FAN_OUT),
+        "coinjoin_like": (F.col("has_equal_outputs") & (F.col("n_out") >= EQUAL_OUT), F.count_if, lambda n, c: n > 0, EQUAL_OUT),
+        "peel_chain": ((F.col("n_out") == 2) & (F.col("min_out_sats") <= PEEL_SHARE * total), F.count_if, lambda n, c: n >= 2, PEEL_SHARE),
+        "structuring": (
+            (F.col("n_out") == 1) & total.isNotNull(), F.count_if,
+            lambda n, c: (n >= PAYMENTS) & (F.avg(F.when(c, total)) > 0) & (F.stddev_samp(F.when(c, total)) <= SPREAD * F.avg(F.when(c, total))), SPREAD,
+        ),
+    }
+    found = []
+    for name, (rule, strength, having, threshold) in rules.items():
+        c = F.coalesce(rule, F.lit(False))
+        found.append(F.struct(
+            F.lit(name).alias("typology"), F.array_sort(F.collect_set(F.when(c, F.col("txid")))).alias("txids"),
+            strength(c).cast("double").alias("strength"), F.lit(float(threshold)).alias("threshold"), F.coalesce(having(F.count_if(c), c), F.lit(False)).alias("ok"),
+        ))
+    rows = sent_rows.groupBy("subject_id").agg(F.array(*found).alias("_h")).select("subject_id", F.explode(F.filter("_h", lambda h: h["ok"])).alias("_h"))
+    return rows.select(hash_id(F.concat(F.col("_h.typology"), F.lit(":"), "subject_id")).alias("hit_id"), "_h.typology", "subject_id", "_h.txids", "_h.strength", "_h.threshold")
 
 
 def entity_types(spark) -> DataFrame:
