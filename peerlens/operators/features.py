@@ -10,7 +10,10 @@ from pyspark.sql.window import Window
 
 from peerlens.functions.arrays import paired
 from peerlens.functions.stats import distinct_with_null, truncated_median
+from peerlens.functions.text import script_type
 from peerlens.operators.asof import asof_join
+from peerlens.operators.graph import snapshot as ledger_at
+from peerlens.operators.ordered import exact_medians
 from peerlens.runtime import durable
 
 # The round sums under which amounts are kept by structuring, in satoshis.
@@ -98,6 +101,61 @@ def cluster_shape(claims: DataFrame, members: DataFrame, active: DataFrame) -> D
     return sizes.join(weakest, "subject_id", "left")
 
 
+def script_types(live: DataFrame) -> DataFrame:
+    """(subject_id, n_script_types): address formats among a subject's active members; an unknown one counts as one."""
+    kind = script_type(F.col("address"))
+    return live.groupBy("subject_id").agg((F.count_distinct(kind) + F.max(kind.isNull().cast("int"))).cast("long").alias("n_script_types"))
+
+
+# The columns of the subject table in contract order.
+SUBJECT_FEATURES = (
+    "n_addresses", "n_tx_sent", "total_sent_sats", "mean_sent_sats", "n_tx_received", "total_received_sats", "mean_received_sats", "balance_sats", "n_counterparties", "max_fan_out", "n_coinbase_received",
+    "frac_equal_outputs", "mean_fee_rate", "median_dwell_us", "min_edge_confidence", "n_heuristics", "n_script_types", "mean_p_origin", "mean_origin_margin", "frac_origin_abstained", "frac_top1_tor",
+    "mean_p_asn", "mean_asn_margin", "frac_l1_abstained", "mean_n_announcements", "n_typologies", "n_typology_txns", "fan_in_ratio", "peel_chain_depth", "peel_leak_frac", "structuring_frac", "burstiness", "fee_anomaly",
+)
+# The columns that tell of origins, operators and patterns, which a snapshot lacks.
+FUSED = ("mean_p_origin", "mean_origin_margin", "frac_origin_abstained", "frac_top1_tor", "mean_p_asn", "mean_asn_margin", "frac_l1_abstained", "mean_n_announcements", "n_typologies", "n_typology_txns")
+# Columns in which nothing found is zero.
+ZERO_FILLED = ("n_typologies", "n_typology_txns", "fan_in_ratio", "peel_chain_depth", "peel_leak_frac", "structuring_frac", "burstiness", "fee_anomaly")
+
+
+def subject_table(rows: DataFrame, tx: DataFrame, members: DataFrame, claims: DataFrame, boundary_us: int, fused: list[DataFrame]) -> DataFrame:
+    """One row per subject of ``rows`` (side rows in their window) with all blocks, and the ``fused`` frames joined in.
+
+    Pattern and shape columns without a finding are zero; all others stay null.
+    """
+    pairs = rows.where("side = 'in'").select("subject_id", "txid").distinct()
+    live = members.join(rows.select("address").distinct(), "address", "left_semi")
+    out = activity(rows)
+    for block in (counterparties(rows), max_fan_out(rows), dwell(rows), cluster_shape(claims, members, rows.select("address")), script_types(live), morphology(tx, pairs, boundary_us), *fused):
+        out = out.join(block, "subject_id", "left")
+    return out.fillna(0, subset=[c for c in ZERO_FILLED if c in out.columns])
+
+
+def snapshot_table(tx: DataFrame, ledger: DataFrame, clusters_of, start_us: int, end_us: int, threshold: float = 0.3) -> DataFrame:
+    """(subject_id, 23 features) of the window [start_us, end_us], with the ownership known at its end.
+
+    ``ledger`` holds claims with the instant at which they became available;
+    ``clusters_of`` makes (member, root) of edges. Subjects are the groups of the
+    edges known at the end and the other addresses seen by then, as far as they are
+    active in the window. Flows are exact: summed once per subject and transaction.
+    """
+    if start_us > end_us:
+        raise ValueError("the window ends before it starts")
+    window = tx.where(F.col("first_seen_us").between(start_us, end_us))
+    edges = durable(ledger_at(ledger, end_us).where(F.col("confidence") >= threshold), "snapshot-edges")
+    grouped = clusters_of(edges).select(F.col("member").alias("address"), F.concat(F.lit("group:"), "root").alias("subject_id"))
+    seen = tx_sides(tx.where(F.col("first_seen_us") <= end_us)).select("address").distinct()
+    single = seen.join(grouped, "address", "left_anti").select("address", F.concat(F.lit("addr:"), "address").alias("subject_id"))
+    members = durable(grouped.unionByName(single), "snapshot-members")
+    rows = durable(in_window(tx_sides(window), members, end_us + 1), "snapshot-rows")
+    # all heuristics and weakest links are those of the edges known at the end
+    table = subject_table(rows, window, members, edges, end_us + 1, [])
+    exact = flows(window, members)
+    table = table.drop(*[c for c in exact.columns if c != "subject_id"]).join(exact, "subject_id", "left").fillna(0, subset=["total_sent_sats", "total_received_sats", "n_counterparties", "balance_sats"])
+    return table.select("subject_id", *[c for c in SUBJECT_FEATURES if c not in FUSED])
+
+
 def origin_fusion(estimates: DataFrame, sent_pairs: DataFrame) -> DataFrame:
     """Five features of the origin estimates of what a subject sent."""
     top = estimates.where("rank = 1").groupBy("txid").agg(F.max("p_origin").alias("p_origin"), F.max("margin").alias("margin"), F.max("n_announcements").alias("n_announcements"), F.bool_or("is_tor_exit").alias("is_tor_exit"))
@@ -120,15 +178,23 @@ def typology_load(hits: DataFrame, sent_pairs: DataFrame) -> DataFrame:
     return flagged.groupBy("subject_id").agg(F.count_distinct("typology").alias("n_typologies"), F.count_distinct("txid").alias("n_typology_txns"))
 
 
-def morphology(tx: DataFrame, sent_pairs: DataFrame) -> DataFrame:
-    """Six shape features of what a subject sent."""
-    median = tx.agg(F.median("fee_rate_sat_vb").alias("_median"))
+def morphology(tx: DataFrame, sent_pairs: DataFrame, boundary_us: int | None = None) -> DataFrame:
+    """Six shape features of what a subject sent.
+
+    The going fee rate is the median of the window that a transaction falls into:
+    before the boundary or from it on; without a boundary all form one window.
+    Transactions without an instant belong to no window of a boundary.
+    """
+    window = F.lit(0) if boundary_us is None else F.when(F.col("first_seen_us").isNotNull(), (F.col("first_seen_us") >= boundary_us).cast("int"))
+    tx = tx.withColumn("_window", window)
+    # one row per window
+    median = exact_medians(tx.where(F.col("_window").isNotNull()), ["_window"], "fee_rate_sat_vb", "_median")
     banded = F.exists("output_amounts", lambda x: reduce(lambda a, b: a | b, [(x >= t * 9 // 10) & (x < t) for t in LADDER]))
     shape = tx.select(
-        "txid", "first_seen_us", "n_out", "total_out_sats", "fee_rate_sat_vb", F.size("input_addresses").alias("n_in"), F.array_min("output_amounts").alias("lo"),
+        "txid", "_window", "first_seen_us", "n_out", "total_out_sats", "fee_rate_sat_vb", F.size("input_addresses").alias("n_in"), F.array_min("output_amounts").alias("lo"),
         F.array_max("output_amounts").alias("hi"), F.coalesce(banded, F.lit(False)).alias("banded"),
     )
-    rows = sent_pairs.select("subject_id", "txid").distinct().join(shape, "txid").join(F.broadcast(median))
+    rows = sent_pairs.select("subject_id", "txid").distinct().join(shape, "txid").join(F.broadcast(median), "_window", "left")
     peel = (F.col("n_in") == 1) & (F.col("n_out") == 2) & (F.col("lo") * 4 < F.col("hi"))
     gap = F.col("first_seen_us") - F.lag("first_seen_us").over(Window.partitionBy("subject_id").orderBy("first_seen_us"))
     rows = rows.withColumn("_gap", F.when(F.col("first_seen_us").isNotNull(), gap))

@@ -100,9 +100,9 @@ def change_claims(tx: DataFrame) -> DataFrame:
     return star_edges(rows, F.concat(F.col("input_addresses"), F.array(change)), "change_addr", CHANGE)
 
 
-def suppressed_claims(tx: DataFrame) -> DataFrame:
-    """(evidence, n): claims that the mixer rule suppressed."""
-    mixed = tx.where(mixer() & ~F.col("is_coinbase"))
+def suppressed_claims(tx: DataFrame, rule: Column | None = None) -> DataFrame:
+    """(evidence, n): claims that a rule, by default the mixer rule, suppressed."""
+    mixed = tx.where((mixer() if rule is None else rule) & ~F.col("is_coinbase"))
     change = F.get(F.col("output_addresses"), F.col("change_index"))
     both = star_edges(mixed, F.col("input_addresses"), "multi_input", MULTI_INPUT).unionByName(
         star_edges(mixed.where("change_index >= 0"), F.concat(F.col("input_addresses"), F.array(change)), "change_addr", CHANGE)

@@ -42,7 +42,8 @@ def grf04_hosted_in(spark: SparkSession, root: str) -> DataFrame:
 
 
 def grf05_mixers(spark: SparkSession, root: str) -> DataFrame:
-    return base.tx(spark, root).where(graph.mixer()).select("txid", "n_in", "n_out").withColumns({c: F.col(c).cast("long") for c in ("n_in", "n_out")})
+    """Every transaction with whether it looks like a joint one."""
+    return base.tx(spark, root).select("txid", F.col("n_in").cast("long").alias("n_in"), F.col("n_out").cast("long").alias("n_out"), "has_equal_outputs", graph.mixer().alias("is_mixer"))
 
 
 def grf06_star_edges(spark: SparkSession, root: str) -> DataFrame:
@@ -59,7 +60,8 @@ def grf08_change_claims(spark: SparkSession, root: str) -> DataFrame:
 
 
 def grf09_suppressed(spark: SparkSession, root: str) -> DataFrame:
-    return graph.suppressed_claims(shaped_tx(spark, root))
+    """What the mixer rule would suppress if unequal outputs counted too; the tables have no transaction that meets it whole."""
+    return graph.suppressed_claims(shaped_tx(spark, root), (F.col("n_out") >= 3) & (F.col("n_in") >= 2))
 
 
 def grf10_strongest(spark: SparkSession, root: str) -> DataFrame:
@@ -105,7 +107,7 @@ def grf20_snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 def joi11_neighbourhood(spark: SparkSession, root: str) -> DataFrame:
     e = graph.announced_by(base.ann(spark, root)).select("src", "dst", "kind", "ts_us")
-    focus = table(spark, root, "origin_abstain").where("peer_ip is not null").select(F.concat(F.lit("peer:"), "peer_ip").alias("node_id"))
+    focus = base.ann(spark, root).where("geo_country = 'DE'").select(F.concat(F.lit("peer:"), "peer_ip").alias("node_id")).distinct()
     return graph.neighbourhood(e, focus)
 
 
@@ -153,8 +155,8 @@ def _star(rows: str, members: str, evidence: str, confidence: float, name: str)
 _INPUTS, _CHANGED = "input_addresses", "list_append(input_addresses, output_addresses[change_index + 1])"
 MULTI = _star(f"NOT is_coinbase AND n_in >= 2 AND NOT {MIXER}", _INPUTS, "multi_input", 0.36, "multi")
 CHG = _star(f"NOT is_coinbase AND change_index >= 0 AND NOT {MIXER}", _CHANGED, "change_addr", 0.25, "chg")
-SUP1 = _star(f"NOT is_coinbase AND {MIXER}", _INPUTS, "multi_input", 0.36, "sup1")
-SUP2 = _star(f"NOT is_coinbase AND {MIXER} AND change_index >= 0", _CHANGED, "change_addr", 0.25, "sup2")
+SUP1 = _star("NOT is_coinbase AND n_out >= 3 AND n_in >= 2", _INPUTS, "multi_input", 0.36, "sup1")
+SUP2 = _star("NOT is_coinbase AND n_out >= 3 AND n_in >= 2 AND change_index >= 0", _CHANGED, "change_addr", 0.25, "sup2")
 STRONGEST = f"""{base.CLAIMS}, strongest AS (SELECT src, dst, confidence, evidence, ts_us, txid FROM (
   SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY confidence DESC, evidence, ts_us NULLS FIRST, txid NULLS FIRST) AS r FROM claims) WHERE r = 1)"""
 CLUSTERS = f"""{STRONGEST}, sym AS (SELECT src AS u, dst AS v FROM strongest WHERE confidence >= 0.2 UNION SELECT dst, src FROM strongest WHERE confidence >= 0.2),
@@ -206,7 +208,7 @@ ORACLES = {
     "grf04_hosted_in": f"""WITH {base.PEERS}, own AS (SELECT DISTINCT peer_ip FROM ann WHERE asn IS NOT NULL)
       SELECT 'peer:' || peer_ip AS src, 'asn:' || asn AS dst, 'HOSTED_IN' AS kind, first_us AS ts_us, NULL::BIGINT AS sats, CASE WHEN o THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence, CASE WHEN o THEN 'observed' ELSE 'geoip' END AS evidence
       FROM (SELECT *, peer_ip IN (SELECT peer_ip FROM own) AS o FROM peers WHERE asn IS NOT NULL)""",
-    "grf05_mixers": f"WITH {base.TX} SELECT txid, n_in, n_out FROM tx WHERE {MIXER}",
+    "grf05_mixers": f"WITH {base.TX} SELECT txid, n_in, n_out, has_equal_outputs, {MIXER} AS is_mixer FROM tx",
     "grf06_star_edges": """SELECT cluster_id, src, dst, 1.0::DOUBLE AS confidence, 'run' AS evidence FROM (SELECT cluster_id, list_min(m) AS src, unnest(m) AS dst FROM (
       SELECT cluster_id, list_distinct(addresses) AS m FROM clusters) WHERE len(m) >= 2) WHERE src <> dst""",
     "grf07_multi_input": f"WITH {SHAPED}, {MULTI} SELECT * FROM multi",
@@ -227,7 +229,7 @@ ORACLES = {
     "grf20_snapshot": f"""WITH {base.CLAIMS} SELECT src, dst, confidence, ts_us AS available_us, txid, evidence FROM (
       SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY confidence DESC, ts_us, txid NULLS FIRST, evidence) AS r FROM claims WHERE ts_us <= {CUTOFF_US}) WHERE r = 1""",
     "joi11_neighbourhood": f"""WITH {base.ANN} SELECT 'tx:' || txid AS src, 'peer:' || peer_ip AS dst, 'ANNOUNCED_BY' AS kind, min(seen_us) AS ts_us FROM ann
-      WHERE peer_ip IN (SELECT peer_ip FROM origin_abstain WHERE peer_ip IS NOT NULL) GROUP BY txid, peer_ip""",
+      WHERE peer_ip IN (SELECT peer_ip FROM ann WHERE geo_country = 'DE') GROUP BY txid, peer_ip""",
     "org01_peer_degree": f"""WITH {base.PEERS} SELECT peer_ip, sum(n)::BIGINT AS peer_degree FROM (
       SELECT peer_ip, count(DISTINCT txid) AS n FROM ann WHERE peer_ip IS NOT NULL GROUP BY peer_ip UNION ALL SELECT peer_ip, 1 FROM peers WHERE asn IS NOT NULL) GROUP BY peer_ip""",
     "typ01_subjects": f"WITH {base.SIDES}, {SUBJECTS} SELECT * FROM subject_map",

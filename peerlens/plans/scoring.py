@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peerlens.functions import text
 from peerlens.operators import features, origin, typology
+from peerlens.operators.components import components
 from peerlens.plans import base, network
 from peerlens.runtime import durable
 
@@ -56,8 +57,10 @@ def org09_fallback_ensemble(spark: SparkSession, root: str) -> DataFrame:
     return _estimates(origin.fallback_ensemble(candidates(spark, root)))
 
 
-def rollup(spark: SparkSession, root: str) -> DataFrame:
-    return origin.operator_rollup(origin.first_spy(candidates(spark, root)), base.peers(spark, root), base.asn_rollup(spark, root))
+def rollup(spark: SparkSession, root: str, estimates: DataFrame | None = None) -> DataFrame:
+    """The operator of each transaction; the estimates are read on several sides, so they are written once."""
+    estimates = durable(origin.first_spy(candidates(spark, root)), "estimates") if estimates is None else estimates
+    return origin.operator_rollup(estimates, durable(base.peers(spark, root), "peers"), base.asn_rollup(spark, root))
 
 
 def org10_operator_rollup(spark: SparkSession, root: str) -> DataFrame:
@@ -119,18 +122,30 @@ def ftr11_typology_load(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ftr12_morphology(spark: SparkSession, root: str) -> DataFrame:
-    return _long(_round(features.morphology(base.tx(spark, root), _pairs(spark, root))))
+    return _long(_round(features.morphology(base.tx(spark, root), _pairs(spark, root), BOUNDARY_US)))
 
 
 def ftr13_subject_table(spark: SparkSession, root: str) -> DataFrame:
-    """The assembled feature table of every subject."""
-    rows, pairs = _rows(spark, root), _pairs(spark, root)
-    tx = base.tx(spark, root)
-    out = features.activity(rows).join(features.counterparties(rows), "subject_id", "left").join(features.max_fan_out(rows), "subject_id", "left").join(features.dwell(rows), "subject_id", "left")
-    hits = typology.hits(typology.sent(tx, network.subjects(spark, root)))
-    out = out.join(features.typology_load(hits, pairs), "subject_id", "left").join(features.morphology(tx, pairs), "subject_id", "left")
-    filled = ["n_typologies", "n_typology_txns", "fan_in_ratio", "peel_chain_depth", "peel_leak_frac", "structuring_frac", "burstiness", "fee_anomaly"]
-    return _long(_round(out.fillna(0, subset=filled), 4))
+    """The assembled table of every subject: its window and 33 features in contract order."""
+    tx, members = durable(base.tx(spark, root), "tx"), durable(network.subjects(spark, root), "subjects")
+    rows = durable(features.in_window(features.tx_sides(tx), members, BOUNDARY_US), "subject-rows")
+    pairs = rows.where("side = 'in'").select("subject_id", "txid").distinct()
+    estimates = durable(origin.first_spy(candidates(spark, root)), "estimates")
+    hits = typology.hits(typology.sent(tx, members))
+    fused = [features.origin_fusion(estimates, pairs), features.operator_fusion(rollup(spark, root, estimates), pairs), features.typology_load(hits, pairs)]
+    out = features.subject_table(rows, tx, members, base.claims(spark, root), BOUNDARY_US, fused)
+    window = rows.groupBy("subject_id").agg((F.min("first_seen_us") < BOUNDARY_US).alias("is_train"))
+    return _long(_round(out.join(window, "subject_id").select("subject_id", "is_train", *features.SUBJECT_FEATURES), 4))
+
+
+# The window of the snapshot query.
+SNAPSHOT = (1_740_000_000_000_000, 1_755_000_000_000_000)
+
+
+def ftr15_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The 23 features of a window with the ownership known at its end."""
+    ledger = base.claims(spark, root).select("src", "dst", "txid", F.col("ts_us").alias("available_us"), "confidence", "evidence")
+    return _long(_round(features.snapshot_table(base.tx(spark, root), ledger, lambda e: components(e), *SNAPSHOT), 4))
 
 
 def ftr15_flows(spark: SparkSession, root: str) -> DataFrame:
@@ -164,7 +179,7 @@ def ftr17_signed_log(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     org02_payer_links, org03_candidates, org04_likelihood, org06_timing_mle, org07_first_spy, org09_fallback_ensemble, org10_operator_rollup, org11_causal_candidates,
     ftr01_sides, ftr02_windows, ftr03_activity, ftr04_counterparties, ftr05_max_fan_out, ftr06_dwell, ftr07_cluster_shape, ftr09_origin_fusion, ftr10_operator_fusion, ftr11_typology_load,
-    ftr12_morphology, ftr13_subject_table, ftr15_flows, ftr16_pooled, ftr16_relational, ftr17_signed_log,
+    ftr12_morphology, ftr13_subject_table, ftr15_flows, ftr15_snapshot, ftr16_pooled, ftr16_relational, ftr17_signed_log,
 )}
 
 PAYER = """payer AS (SELECT txid, input_addresses[1] AS payer FROM tx WHERE input_addresses[1] IS NOT NULL),
@@ -225,7 +240,8 @@ FLOWS = """own AS (SELECT address, subject_id FROM subject_map),
   flows AS (SELECT subject_id, coalesce(total_sent_sats, 0) AS total_sent_sats, mean_sent_sats, mean_fee_rate, frac_equal_outputs, coalesce(total_received_sats, 0) AS total_received_sats, mean_received_sats, coalesce(n_counterparties, 0) AS n_counterparties,
     coalesce(total_received_sats, 0) - coalesce(total_sent_sats, 0) AS balance_sats FROM fs FULL JOIN fg USING (subject_id) FULL JOIN fc USING (subject_id))"""
 
-_SENTROWS = "sentx AS (SELECT DISTINCT p.subject_id, t.* FROM pairs p JOIN tx t USING (txid))"
+_SENTROWS = f"""medians AS (SELECT first_seen_us >= {BOUNDARY_US} AS late, median(fee_rate_sat_vb) AS going FROM tx WHERE first_seen_us IS NOT NULL GROUP BY ALL),
+  sentx AS (SELECT DISTINCT p.subject_id, t.*, m.going FROM pairs p JOIN tx t USING (txid) LEFT JOIN medians m ON m.late = (t.first_seen_us >= {BOUNDARY_US}))"""
 _LADDER = " OR ".join(f"(x >= {t * 9 // 10} AND x < {t})" for t in features.LADDER)
 MORPH = f"""{_SENTROWS}, gaps AS (SELECT subject_id, first_seen_us - lag(first_seen_us) OVER (PARTITION BY subject_id ORDER BY first_seen_us) AS gap FROM sentx WHERE first_seen_us IS NOT NULL),
   burst AS (SELECT subject_id, CASE WHEN count(gap) < 2 OR avg(gap) = 0 THEN 0.0 ELSE stddev_samp(gap) / avg(gap) END AS burstiness FROM gaps GROUP BY subject_id),
@@ -233,7 +249,7 @@ MORPH = f"""{_SENTROWS}, gaps AS (SELECT subject_id, first_seen_us - lag(first_s
     count(*) FILTER (len(input_addresses) = 1 AND n_out = 2 AND list_min(output_amounts) * 4 < list_max(output_amounts)) AS peel_chain_depth,
     avg(list_min(output_amounts)::DOUBLE / total_out_sats) FILTER (len(input_addresses) = 1 AND n_out = 2 AND list_min(output_amounts) * 4 < list_max(output_amounts)) AS peel_leak_frac,
     avg(CASE WHEN len(list_filter(output_amounts, lambda x: {_LADDER})) > 0 THEN 1 ELSE 0 END) AS structuring_frac, coalesce(any_value(burstiness), 0.0) AS burstiness,
-    avg(fee_rate_sat_vb - (SELECT median(fee_rate_sat_vb) FROM tx)) AS fee_anomaly FROM sentx s LEFT JOIN burst b ON b.subject_id = s.subject_id GROUP BY s.subject_id)"""
+    avg(fee_rate_sat_vb - going) AS fee_anomaly FROM sentx s LEFT JOIN burst b ON b.subject_id = s.subject_id GROUP BY s.subject_id)"""
 
 ORACLES = {
     "org02_payer_links": f"WITH {base.ANN}, {base.TX}, {PAYER} SELECT * FROM links",
@@ -282,8 +298,79 @@ ORACLES = {
     "ftr17_signed_log": f"""WITH {base.SIDES}, {network.SUBJECTS}, {FLOWS} SELECT subject_id, round(sign(balance_sats) * ln(1 + abs(balance_sats)), 6) + 0.0 AS balance_log,
       round(sign(coalesce(mean_sent_sats, 0)) * ln(1 + abs(coalesce(mean_sent_sats, 0))), 6) + 0.0 AS mean_sent_log FROM flows""",
 }
-ORACLES["ftr13_subject_table"] = f"""
-  SELECT a.*, c.n_counterparties, f.max_fan_out, d.median_dwell_us, coalesce(t.n_typologies, 0) AS n_typologies, coalesce(t.n_typology_txns, 0) AS n_typology_txns, coalesce(m.fan_in_ratio, 0) AS fan_in_ratio, coalesce(m.peel_chain_depth, 0) AS peel_chain_depth,
-         coalesce(m.peel_leak_frac, 0.0) AS peel_leak_frac, coalesce(m.structuring_frac, 0.0) AS structuring_frac, coalesce(m.burstiness, 0.0) AS burstiness, coalesce(m.fee_anomaly, 0.0) AS fee_anomaly
-  FROM ({ORACLES["ftr03_activity"]}) a LEFT JOIN ({ORACLES["ftr04_counterparties"]}) c USING (subject_id) LEFT JOIN ({ORACLES["ftr05_max_fan_out"]}) f USING (subject_id) LEFT JOIN ({ORACLES["ftr06_dwell"]}) d USING (subject_id)
-  LEFT JOIN ({ORACLES["ftr11_typology_load"]}) t USING (subject_id) LEFT JOIN ({ORACLES["ftr12_morphology"].replace(", 6)", ", 4)")}) m USING (subject_id)"""
+_TYPES = "CASE WHEN address LIKE 'bc1p%' THEN 'p2tr' WHEN address LIKE 'bc1q%' AND length(address) = 42 THEN 'p2wpkh' WHEN address LIKE 'bc1q%' AND length(address) = 62 THEN 'p2wsh' WHEN address LIKE '3%' THEN 'p2sh' WHEN address LIKE '1%' THEN 'p2pkh' END"
+_WINDOW_TYPES = f"WITH {WIN} SELECT subject_id, count(DISTINCT {_TYPES}) + max(({_TYPES} IS NULL)::INT) AS n_script_types FROM (SELECT DISTINCT subject_id, address FROM rows_) GROUP BY subject_id"
+
+
+def _columns(names) -> str:
+    """The features by name: nothing found is zero in some, fractions are rounded."""
+    fraction = {"min_edge_confidence"}
+    out = []
+    for c in names:
+        x = f"coalesce({c}, 0)" if c in features.ZERO_FILLED else c
+        out.append(f"round({x}, 4) + 0.0 AS {c}" if c in fraction else f"{x} AS {c}")
+    return ", ".join(out)
+
+
+def _blocks(names: list[str]) -> str:
+    four = lambda q: (_WINDOW_TYPES if q == "types" else ORACLES[q]).replace(", 6)", ", 4)")
+    return f"({four(names[0])}) b0 " + " ".join(f"LEFT JOIN ({four(q)}) b{i} USING (subject_id)" for i, q in enumerate(names[1:], 1))
+
+
+_PLAIN = ["ftr03_activity", "ftr04_counterparties", "ftr05_max_fan_out", "ftr06_dwell", "ftr07_cluster_shape", "types", "ftr12_morphology"]
+ORACLES["ftr13_subject_table"] = f"""SELECT subject_id, "window" = 'train' AS is_train, {_columns(features.SUBJECT_FEATURES)}
+  FROM {_blocks([*_PLAIN, "ftr09_origin_fusion", "ftr10_operator_fusion", "ftr11_typology_load", "ftr02_windows"])}"""
+_SNAP_TX = f"tx AS (SELECT DISTINCT * FROM normalised_transactions WHERE first_seen_us BETWEEN {SNAPSHOT[0]} AND {SNAPSHOT[1]})"
+_SNAP_SUBJECTS = f"""known AS (SELECT src, dst, confidence, evidence FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY confidence DESC, ts_us, txid NULLS FIRST, evidence) AS r
+      FROM ({base.CLAIMS.split("AS (", 1)[1][:-1]}) WHERE ts_us <= {SNAPSHOT[1]}) WHERE r = 1 AND confidence >= 0.3),
+  both_ways AS (SELECT src AS u, dst AS v FROM known UNION SELECT dst, src FROM known),
+  far(member, r) AS (SELECT DISTINCT u, u FROM both_ways UNION SELECT far.member, both_ways.v FROM far JOIN both_ways ON both_ways.u = far.r),
+  grouped AS (SELECT member AS address, 'group:' || min(r) AS subject_id FROM far GROUP BY member),
+  subject_map AS (SELECT subject_id, address FROM grouped UNION ALL SELECT 'addr:' || address, address FROM (SELECT DISTINCT address FROM sides) s WHERE address NOT IN (SELECT address FROM grouped))"""
+
+
+def _snapshot_sql(sql: str) -> str:
+    sql = sql.replace(base.TX, _SNAP_TX).replace(network.SUBJECTS, _SNAP_SUBJECTS).replace(str(BOUNDARY_US), str(SNAPSHOT[1] + 1)).replace("FROM claims c", "FROM known c")
+    return sql.replace("WITH ", "WITH RECURSIVE ")
+
+
+ORACLES["ftr15_snapshot"] = _snapshot_sql(f"""SELECT subject_id, {_columns([c for c in features.SUBJECT_FEATURES if c not in features.FUSED])}
+  FROM (SELECT * EXCLUDE (total_sent_sats, mean_sent_sats, total_received_sats, mean_received_sats, balance_sats, n_counterparties, mean_fee_rate, frac_equal_outputs) FROM {_blocks(_PLAIN)}) p
+  LEFT JOIN ({ORACLES["ftr15_flows"]}) f USING (subject_id)""")
+
+# All instants form one window: the twin of the relational features reuses the blocks with a boundary beyond all of them.
+_ALL_TX = "tx AS (SELECT DISTINCT * FROM normalised_transactions WHERE first_seen_us IS NOT NULL)"
+_OWN = [c for c in features.SUBJECT_FEATURES if c not in features.FUSED]
+_OF_TX = ["n_in", "n_out", "total_out_sats", "fee_sats", "fee_rate_sat_vb", "has_equal_outputs"]
+_OF_PEER = ["observations", "transactions", "observers", *[f"class_{i}" for i in range(6)]]
+
+
+def _relational_sql() -> str:
+    whole = lambda sql: sql.replace(base.TX, _ALL_TX).replace(str(BOUNDARY_US), str(9 * 10**18))
+    blocks = _blocks(_PLAIN).replace(", 4) + 0.0", ", 12) + 0.0")
+    flows = ORACLES["ftr15_flows"].replace(", 4) + 0.0", ", 12) + 0.0")
+    local = f"""SELECT subject_id, {", ".join(_OWN)} FROM (SELECT * EXCLUDE (total_sent_sats, mean_sent_sats, total_received_sats, mean_received_sats, balance_sats, n_counterparties, mean_fee_rate, frac_equal_outputs) FROM {blocks}) p
+      LEFT JOIN ({flows}) f USING (subject_id)"""
+    number = lambda c: f"coalesce(CASE WHEN isnan({c}::DOUBLE) THEN 0 ELSE {c}::DOUBLE END, 0)"
+    signed = ", ".join(f"sign({number(c)}) * ln(1 + abs({number(c)})) AS {c}" for c in _OWN)
+    values = ", ".join(f"max(ln(1 + greatest({number(c)}, 0))) AS {c}" for c in _OF_TX)
+    code = "CASE net_class " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in origin.CLASS_CODES.items()) + " ELSE 0 END"
+    classes = ", ".join(f"(({code}) = {i})::INT::DOUBLE AS class_{i}" for i in range(6))
+    fields = [*_OF_TX, *[f"announcer_mean_{c}" for c in _OF_PEER], *[f"funder_mean_{c}" for c in _OWN]]
+    context = ", ".join([*[f"v.{c}" for c in _OF_TX], *[f"coalesce(announcer_mean_{c}, 0) AS announcer_mean_{c}" for c in _OF_PEER], *[f"coalesce(funder_mean_{c}, 0) AS funder_mean_{c}" for c in _OWN]])
+    pooled = lambda side: f"ln(1 + count(*)) AS {side}_degree, " + ", ".join(f"avg({c}) AS {side}_{c}_mean, stddev_pop({c}) AS {side}_{c}_std, min({c}) AS {side}_{c}_min, max({c}) AS {side}_{c}_max" for c in fields)
+    names = [*_OWN, *[f"{side}_{c}" for side in ("received", "spent") for c in ["degree", *[f"{f}_{a}" for f in fields for a in ("mean", "std", "min", "max")]]]]
+    link = lambda column: f"SELECT DISTINCT subject_id, txid FROM (SELECT txid, unnest({column}) AS address FROM tx) JOIN subject_map USING (address) WHERE subject_id IN (SELECT subject_id FROM logs)"
+    return whole(f"""WITH {base.PEERS}, {base.SIDES}, {network.SUBJECTS}, local AS ({local}), logs AS (SELECT subject_id, {signed} FROM local), vals AS (SELECT txid, {values} FROM tx GROUP BY txid),
+      heard AS (SELECT a.* FROM ann a JOIN vals USING (txid)),
+      announcers AS (SELECT c.peer_ip, ln(1 + observations) AS observations, ln(1 + transactions) AS transactions, ln(1 + observers) AS observers, {classes} FROM (
+        SELECT peer_ip, count(*) AS observations, count(DISTINCT txid) AS transactions, count(DISTINCT observer_ip) AS observers FROM heard GROUP BY peer_ip) c LEFT JOIN peers p ON p.peer_ip = c.peer_ip),
+      said AS (SELECT txid, {", ".join(f"avg({c}) AS announcer_mean_{c}" for c in _OF_PEER)} FROM (SELECT DISTINCT peer_ip, txid FROM heard) JOIN announcers USING (peer_ip) GROUP BY txid),
+      funds AS ({link("input_addresses")}), receives AS ({link("output_addresses")}),
+      funded AS (SELECT txid, {", ".join(f"avg({c}) AS funder_mean_{c}" for c in _OWN)} FROM funds JOIN logs USING (subject_id) GROUP BY txid),
+      context AS (SELECT v.txid, {context} FROM vals v LEFT JOIN said USING (txid) LEFT JOIN funded USING (txid)),
+      received AS (SELECT subject_id, {pooled("received")} FROM receives JOIN context USING (txid) GROUP BY subject_id), spent AS (SELECT subject_id, {pooled("spent")} FROM funds JOIN context USING (txid) GROUP BY subject_id)
+      SELECT subject_id, {", ".join(f"round(coalesce({c}, 0), 5) + 0.0 AS {c}" for c in names)} FROM logs LEFT JOIN received USING (subject_id) LEFT JOIN spent USING (subject_id)""")
+
+
+ORACLES["ftr16_relational"] = _relational_sql()
