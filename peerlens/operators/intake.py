@@ -55,12 +55,20 @@ def sats(token: Column, unit: str) -> Column:
     return F.when(value == F.floor(value), value.try_cast("bigint"))
 
 
+def clocks(rows: DataFrame, by: list[str], column: str = "timestamp") -> DataFrame:
+    """(by..., clock): iso, s, ms or us of each capture, by its widest value; any text that is no number: iso.
+
+    Blank and null texts tell nothing; a capture with no others is absent.
+    """
+    text = F.trim(column)
+    r = rows.where(text != "").groupBy(*by).agg(F.bool_and(text.rlike(r"^-?[0-9]+$")).alias("_numeric"), F.max(F.length(F.regexp_replace(text, "^-", ""))).alias("_width"))
+    return r.select(*by, F.when(~F.col("_numeric"), "iso").when(F.col("_width") >= 15, "us").when(F.col("_width") >= 12, "ms").otherwise("s").alias("clock"))
+
+
 def detect_clock(rows: DataFrame, column: str = "timestamp") -> str:
-    """iso, s, ms or us by the widest value; any text that is no number: iso."""
-    r = rows.where(F.trim(column) != "").agg(F.bool_and(F.trim(column).rlike(r"^-?[0-9]+$")).alias("numeric"), F.max(F.length(F.regexp_replace(F.trim(column), "^-", ""))).alias("width")).first()
-    if not r["numeric"]:
-        return "iso"
-    return "us" if r["width"] >= 15 else "ms" if r["width"] >= 12 else "s"
+    """The clock of one whole capture; an empty one counts as iso."""
+    r = clocks(rows.select(F.lit(0).alias("_all"), column), ["_all"], column).first()
+    return r["clock"] if r else "iso"
 
 
 def instant(text: Column, clock: str) -> Column:

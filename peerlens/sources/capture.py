@@ -11,7 +11,6 @@ import io
 import json
 import re
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from peerlens.operators.intake import IntakeError
 from peerlens.operators.rejects import COLUMNS
+from peerlens.runtime import durable
 
 # File suffixes of captures, magic bytes of containers, list columns.
 SUFFIXES, PACKED = ("csv", "jsonl", "json", "xml", "txt"), ("zst", "zstd", "gz")
@@ -26,18 +26,28 @@ ZSTD, GZIP = b"\x28\xb5\x2f\xfd", b"\x1f\x8b"
 LISTS = ("input_addresses", "output_addresses", "input_amounts", "output_amounts", "script_types")
 
 
-def discover(path: str) -> list[str]:
-    """Capture files of a file or folder, sorted by name; dot files and metadata are skipped."""
-    root = Path(path)
-    if root.is_file():
-        return [str(root)]
-    def ok(p: Path) -> bool:
-        parts = p.name.lower().split(".")
-        if p.name.startswith(".") or p.name == "_meta.json" or len(parts) < 2:
-            return False
-        return parts[-1] in SUFFIXES or (parts[-1] in PACKED and len(parts) > 2 and parts[-2] in SUFFIXES)
+def is_capture(name: str) -> bool:
+    """Whether a file name is a capture's; dot files and metadata are none."""
+    parts = name.lower().split(".")
+    if name.startswith(".") or name == "_meta.json" or len(parts) < 2:
+        return False
+    return parts[-1] in SUFFIXES or (parts[-1] in PACKED and len(parts) > 2 and parts[-2] in SUFFIXES)
 
-    return [str(p) for p in sorted(root.iterdir(), key=lambda p: p.name) if p.is_file() and ok(p)]
+
+def discover(spark: SparkSession, path: str) -> list[str]:
+    """Capture files of a file or folder on any Hadoop file system, sorted by name."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(root).isFile():
+        return [path]
+    found = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(root) if s.isFile()]
+    return [full for name, full in sorted(found) if is_capture(name)]
+
+
+def input_hashes(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(name, size, sha256) of the files as they arrived, before anything is decoded."""
+    raw = spark.read.format("binaryFile").load(files)
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def unpack(data: bytes) -> bytes:
@@ -113,7 +123,7 @@ def parse(text: str, kind: str, aliases: dict[str, str], name: str = "") -> Iter
             raw = dict(zip(head, cells, strict=False))
             yield {c: (_items(raw.get(h)) if c in LISTS else _scalar(raw.get(h))) for h, c in names.items()}
     elif kind == "jsonl":
-        for no, line in enumerate(text.splitlines(), 1):
+        for no, line in enumerate(text.split("\n"), 1):
             if not line.strip():
                 continue
             try:
@@ -144,11 +154,11 @@ def read_capture(spark: SparkSession, path: str, aliases: dict[str, str] | None
     Files are read in parallel, one task per file; ``row_id`` counts rows across
     the files in name order. Columns absent from a file are null, lists empty.
     """
-    files = discover(path)
+    files = discover(spark, path)
     if not files:
         raise IntakeError(f"{path}: no capture files")
     known = dict(aliases or {})
-    order = {Path(f).name: i for i, f in enumerate(files)}
+    order = {f.rsplit("/", 1)[-1]: i for i, f in enumerate(files)}
     schema = "file_no int, line_no long, " + ", ".join(f"`{c}` " + ("array<string>" if c in LISTS else "string") for c in COLUMNS)
 
     def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,13 +177,14 @@ def read_capture(spark: SparkSession, path: str, aliases: dict[str, str] | None
                     yield pd.DataFrame(rows, columns=["file_no", "line_no", *COLUMNS])
 
     raw = spark.read.format("binaryFile").load(files).select("path", "content").repartition(len(files), "path").mapInPandas(load, schema)
-    # offsets per file: one row per file
-    sizes = raw.groupBy("file_no").agg(F.count(F.lit(1)).alias("n")).collect()
-    start, offsets = 0, {}
-    for r in sorted(sizes, key=lambda r: r["file_no"]):
-        offsets[r["file_no"]] = start
-        start += r["n"]
-    base = F.broadcast(spark.createDataFrame(list(offsets.items()) or [(0, 0)], "file_no int, _start long"))
+    # written once: the files are neither read nor parsed again for the offsets, which are one row per file
+    raw = durable(raw, "capture")
+    sizes = {r["file_no"]: r["n"] for r in raw.groupBy("file_no").agg(F.count(F.lit(1)).alias("n")).collect()}
+    start, offsets = 0, []
+    for i in range(len(files)):
+        offsets.append((i, start))
+        start += sizes.get(i, 0)
+    base = F.broadcast(spark.createDataFrame(offsets, "file_no int, _start long"))
     return raw.join(base, "file_no").withColumn("row_id", F.col("_start") + F.col("line_no")).drop("_start")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlens.sources.capture import LISTS
@@ -36,13 +36,42 @@ def write_table(df: DataFrame, path: str, order: list[str]) -> str:
     return row_digest(df.sparkSession.read.parquet(path))
 
 
-def lineage(path: str, stage: str, params: dict, inputs: dict[str, str], outputs: dict[str, str], counts: dict[str, int], warnings: list[str]) -> dict:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on any Hadoop file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def lineage(spark: SparkSession, path: str, stage: str, params: dict, inputs: dict[str, str], outputs: dict[str, str], counts: dict[str, int], warnings: list[str]) -> dict:
     """A stage's ``_meta.json``; what came in must be what went out or was dropped."""
     if counts["in"] != counts["out"] + counts["dropped"]:
         raise ValueError("counts do not add up")
     record = {"stage": stage, "params": params, "inputs": inputs, "outputs": outputs, "counts": counts, "warnings": warnings}
-    with open(path, "w") as f:
-        json.dump(record, f, sort_keys=True, indent=1)
+    write_text(spark, path, json.dumps(record, sort_keys=True, indent=1))
+    return record
+
+
+# What of a manifest depends on the clock and not on the data.
+CLOCKED = ("sealed_at", "took_s", "manifest_sha256")
+
+
+def manifest_hash(record: dict) -> str:
+    """Digest of a manifest without the fields that depend on the clock."""
+    kept = {k: v for k, v in record.items() if k not in CLOCKED}
+    return hashlib.sha256(json.dumps(kept, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def manifest(spark: SparkSession, folder: str, hashes: DataFrame, facts: dict, clock: dict) -> dict:
+    """``INPUT.sha256`` and ``manifest.json`` of a sealed capture; ``hashes`` is one row per input file."""
+    files = [r.asDict() for r in hashes.orderBy("name").collect()]
+    write_text(spark, f"{folder}/INPUT.sha256", "".join(f"{f['sha256']}  {f['name']}\n" for f in files))
+    record = {**facts, **clock, "inputs": files}
+    record["manifest_sha256"] = manifest_hash(record)
+    write_text(spark, f"{folder}/manifest.json", json.dumps(record, sort_keys=True, indent=1))
     return record
 
 
@@ -56,10 +85,10 @@ def export_jsonl(df: DataFrame, path: str, rows_per_file: int = 250_000) -> None
     df.write.option("maxRecordsPerFile", rows_per_file).option("ignoreNullFields", False).json(path)
 
 
-def export_xml(df: DataFrame, path: str) -> None:
-    """XML rows with ``<item>`` lists."""
+def export_xml(df: DataFrame, path: str, rows_per_file: int = 250_000) -> None:
+    """XML shards with ``<item>`` lists."""
     shaped = df.select(*[F.struct(F.col(c).alias("item")).alias(c) if c in LISTS else F.col(c) for c in df.columns])
-    shaped.write.format("xml").option("rowTag", "row").option("rootTag", "rows").save(path)
+    shaped.write.format("xml").option("maxRecordsPerFile", rows_per_file).option("rowTag", "row").option("rootTag", "rows").save(path)
 
 
 def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -93,10 +93,10 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.conform(df, {"missing": "int"})
     assert sinks.conform(df, {"s": "int", "id": "string"}).columns == ["s", "id"]
-    meta = sinks.lineage(str(tmp_path / "_meta.json"), "seal", {}, {}, {}, {"in": 3, "out": 2, "dropped": 1}, [])
+    meta = sinks.lineage(spark, str(tmp_path / "_meta.json"), "seal", {}, {}, {}, {"in": 3, "out": 2, "dropped": 1}, [])
     assert json.loads((tmp_path / "_meta.json").read_text()) == meta
     with pytest.raises(ValueError):
-        sinks.lineage(str(tmp_path / "x"), "seal", {}, {}, {}, {"in": 3, "out": 2, "dropped": 0}, [])
+        sinks.lineage(spark, str(tmp_path / "x"), "seal", {}, {}, {}, {"in": 3, "out": 2, "dropped": 0}, [])
 
 
 def test_lists(spark, tmp_path):
