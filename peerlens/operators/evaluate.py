@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from peerlens.functions.stats import majority
 from peerlens.runtime import durable
 
 
@@ -144,3 +145,33 @@ def estimate_violations(estimates: DataFrame, tolerance: float = 1e-9) -> DataFr
 def histogram(df: DataFrame, key: Column, name: str) -> DataFrame:
     """(name, n): rows per key."""
     return df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_door(truth: DataFrame, seen: DataFrame, key: str, first: str, boundary_us: int) -> DataFrame:
+    """``truth`` of the keys that were seen, with ``is_training``: first seen before the boundary.
+
+    Keys that nobody saw have no side and are left out; what is not of the training
+    side must stay closed to whoever trains.
+    """
+    return truth.join(seen.groupBy(key).agg(F.min(first).alias("_first")).where(F.col("_first").isNotNull()), key).withColumn("is_training", F.col("_first") < boundary_us).drop("_first")
+
+
+def wallet_report(predicted: DataFrame, owners: DataFrame, boundary_us: int, k: int = 20) -> DataFrame:
+    """One row: how well scored subjects match the truth of the addresses first seen from the boundary on.
+
+    ``predicted`` has one row per subject and address (subject_id, address, risk,
+    in_set_0, in_set_1), ``owners`` one per address (address, entity_id, is_illicit,
+    first_us). A subject is illicit if more than half of its such addresses are; ties
+    are licit. Grains: subjects (precision and recall of the k best, coverage of the
+    sets by class) and illicit entities, of which one is caught if a flagged subject
+    holds one of its addresses.
+    """
+    late = owners.where(F.col("first_us") >= boundary_us).groupBy("address").agg(F.min("entity_id").alias("entity_id"), F.bool_or("is_illicit").alias("is_illicit"))
+    joined = predicted.join(late, "address")
+    subjects = joined.groupBy("subject_id").agg(majority(F.col("is_illicit")).alias("y"), F.max("risk").alias("risk"), F.bool_or("in_set_0").alias("in_set_0"), F.bool_or("in_set_1").alias("in_set_1"))
+    sets = subjects.agg(
+        F.count(F.lit(1)).alias("n_subjects"), F.count_if("y").alias("n_illicit"), F.avg(F.when(~F.col("y"), F.col("in_set_0").cast("int"))).alias("coverage_licit"), F.avg(F.when(F.col("y"), F.col("in_set_1").cast("int"))).alias("coverage_illicit"),
+    )
+    flagged = predicted.where("in_set_1").select("address").distinct().withColumn("_hit", F.lit(True))
+    caught = late.where("is_illicit").join(flagged, "address", "left").groupBy("entity_id").agg(F.bool_or(F.coalesce("_hit", F.lit(False))).alias("hit"))
+    return sets.join(at_k(subjects, "risk", "y", "subject_id", k)).join(caught.agg(F.count(F.lit(1)).alias("campaigns"), F.count_if("hit").alias("caught")))

@@ -55,17 +55,30 @@ def flood(near: list[np.ndarray], source: int, mean_us: float, rng: np.random.Ge
     return at
 
 
+def topology(peers: int, observers: int, links: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Neighbours of each peer, and the peers that each observer is linked to."""
+    near = peer_graph(peers, links, seed)
+    rng = np.random.default_rng(seed + 1)
+    degree = np.array([len(x) for x in near], float)
+    return near, [np.sort(weighted_sample(degree, max(1, peers // 4), rng)) for _ in range(observers)]
+
+
+HEARD = ["txid", "true_peer", "observer_id", "peer_ip", "seen_us"]
+
+
+def heard(near: list[np.ndarray], watched: list[np.ndarray], txid: str, source: int, begin: int, mean_us: float, rng: np.random.Generator) -> list[tuple]:
+    """What the observers hear of one transaction: each linked peer at its arrival plus one hop."""
+    at = flood(near, source, mean_us, rng)
+    return [(txid, f"p{source}", f"obs-{o + 1:02d}", f"p{p}", begin + int(at[p] + rng.exponential(mean_us))) for o, linked in enumerate(watched) for p in linked if np.isfinite(at[p])]
+
+
 def announcements(spark: SparkSession, transactions: int, peers: int = 100, observers: int = 5, links: int = 4, mean_us: float = 2_000_000.0, seed: int = 42, start_us: int = 1_735_689_600_000_000) -> DataFrame:
     """(txid, true_peer, observer_id, peer_ip, seen_us): what observers hear of flooded transactions.
 
     Transactions are independent given their own seeds, so they are simulated in
-    parallel and come out the same on any cluster. An observer is linked to a few
-    peers and hears each of them at that peer's arrival plus one hop.
+    parallel and come out the same on any cluster.
     """
-    near = peer_graph(peers, links, seed)
-    rng = np.random.default_rng(seed + 1)
-    watched = [np.sort(weighted_sample(np.array([len(x) for x in near], float), max(1, peers // 4), rng)) for _ in range(observers)]
-    shared = spark.sparkContext.broadcast((near, watched))
+    shared = spark.sparkContext.broadcast(topology(peers, observers, links, seed))
 
     def simulate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near, watched = shared.value
@@ -73,19 +86,28 @@ def announcements(spark: SparkSession, transactions: int, peers: int = 100, obse
             rows = []
             for i in frame["id"].tolist():
                 own = np.random.default_rng(seed_of(seed, i))
-                source = int(own.integers(len(near)))
-                at = flood(near, source, mean_us, own)
-                begin = start_us + i * 600_000_000 + int(own.integers(600_000_000))
-                txid = hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()
-                for o, list_ in enumerate(watched):
-                    for p in list_:
-                        if np.isfinite(at[p]):
-                            rows.append((txid, f"p{source}", f"obs-{o + 1:02d}", f"p{p}", begin + int(at[p] + own.exponential(mean_us))))
-            yield pd.DataFrame(rows, columns=["txid", "true_peer", "observer_id", "peer_ip", "seen_us"])
+                source, begin = int(own.integers(len(near))), start_us + i * 600_000_000 + int(own.integers(600_000_000))
+                rows += heard(near, watched, hashlib.sha256(f"{seed}:{i}".encode()).hexdigest(), source, begin, mean_us, own)
+            yield pd.DataFrame(rows, columns=HEARD)
 
     return spark.range(transactions).mapInPandas(simulate, "txid string, true_peer string, observer_id string, peer_ip string, seen_us long")
 
 
+def flooded(origins: DataFrame, peers: int = 60, observers: int = 4, links: int = 4, mean_us: float = 2_000_000.0, seed: int = 42) -> DataFrame:
+    """As :func:`announcements`, for given transactions (txid, true_ip, broadcast_us); an address always sits at one peer."""
+    shared = origins.sparkSession.sparkContext.broadcast(topology(peers, observers, links, seed))
+
+    def simulate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near, watched = shared.value
+        for frame in frames:
+            rows = []
+            for txid, ip, begin in zip(frame["txid"], frame["true_ip"], frame["broadcast_us"], strict=True):
+                rows += heard(near, watched, txid, seed_of(ip) % len(near), int(begin), mean_us, np.random.default_rng(seed_of(seed, txid)))
+            yield pd.DataFrame(rows, columns=HEARD)
+
+    return origins.select("txid", "true_ip", "broadcast_us").mapInPandas(simulate, "txid string, true_peer string, observer_id string, peer_ip string, seen_us long")
+
+
 def as_sealed(ann: DataFrame) -> DataFrame:
     """Generated announcements in the columns that the normalisation reads."""
     return ann.select(

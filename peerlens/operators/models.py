@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -153,6 +154,13 @@ def score(df: DataFrame, model: dict, id_col: str, top: int = 5, expected_digest
     return slim.mapInPandas(run, f"`{id_col}` {id_type}, margin double, risk double, top_features array<struct<name: string, value: double>>")
 
 
+def overlay(df: DataFrame, plain: dict, extended: dict, extra: list[str]) -> DataFrame:
+    """All rows with ``risk`` and ``model``: the extended model's where all ``extra`` features are known, else the plain one's."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in extra])
+    both = with_risk(with_risk(df, plain, "_plain"), extended, "_extended")
+    return both.withColumn("risk", F.when(known, F.col("_extended")).otherwise(F.col("_plain"))).withColumn("model", F.when(known, "extended").otherwise("plain")).drop("_plain", "_extended")
+
+
 def train_and_score(df: DataFrame, features: list[str], label: str, id_col: str, time_col: str, fraction: float = 0.75, alpha: float = 0.1, seed: int = 42) -> DataFrame:
     """Train on the first part by time, calibrate on the rest, and score all rows with conformal sets."""
     known = durable(split_by_time(df.where(F.col(label).isNotNull()), [time_col, id_col], fraction), "recipe")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "normalisation", "network", "scoring", "idioms", "intake", "measures", "learning", "reports")
+MODULES = ("problems", "normalisation", "network", "scoring", "idioms", "intake", "measures", "learning", "reports", "worlds")
 
 
 def collect() -> tuple[dict, dict]:
