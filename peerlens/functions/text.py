@@ -34,8 +34,10 @@ def short(text: Column, head: int, tail: int, least: int) -> Column:
 
 
 def ip_label(ip: Column) -> Column:
-    """Address with its host part hidden: two octets of IPv4, two groups of IPv6."""
-    return F.when(ip.contains(":"), F.concat(F.regexp_extract(ip, "^([^:]*:[^:]*)", 1), F.lit("::…"))).otherwise(F.regexp_replace(ip, r"^(\d+\.\d+)\.\d+\.\d+$", "$1.x.x"))
+    """Address with its host part hidden: two octets of IPv4, two groups of IPv6; other texts stay."""
+    # fixed values: what stands for the hidden part
+    four = F.regexp_replace(ip, r"^(\d+\.\d+)\.\d+\.\d+$", "$1.x.x")
+    return F.when(F.length(F.regexp_replace(ip, "[^.]", "")) == 3, four).otherwise(F.regexp_replace(ip, "^([0-9a-fA-F]+:[0-9a-fA-F]*):.*$", "$1:x:x"))
 
 
 def tx_label(txid: Column) -> Column:

@@ -15,14 +15,14 @@ POOL, OVERLAP = 2_000, 0.25
 def diverse(scored: DataFrame, id_col: str, score: str, support: str, k: int, pool: int = POOL, overlap: float = OVERLAP) -> list:
     """Ids of up to k best rows whose support sets overlap little with any chosen before.
 
-    Greedy by score, then id, over the ``pool`` best rows; a greedy choice is
-    sequential by nature, so the pool is what bounds it.
+    Greedy by score, then id, over the ``pool`` best rows with a score and a support;
+    a greedy choice is sequential by nature, so the pool is what bounds it.
     """
-    rows = scored.where(F.col(score).isNotNull()).orderBy(F.desc(score), F.asc(id_col)).limit(pool).select(id_col, support).collect()
+    rows = scored.where(F.col(score).isNotNull() & (F.size(support) > 0)).orderBy(F.desc(score), F.asc(id_col)).limit(pool).select(id_col, support).collect()
     chosen, sets = [], []
     for r in rows:
-        s = frozenset(r[support] or [])
-        if all(not (s | t) or len(s & t) / len(s | t) <= overlap for t in sets):
+        s = frozenset(r[support])
+        if all(len(s & t) <= overlap * len(s | t) for t in sets):
             chosen.append(r[id_col])
             sets.append(s)
             if len(chosen) == k:
@@ -31,39 +31,68 @@ def diverse(scored: DataFrame, id_col: str, score: str, support: str, k: int, po
 
 
 def canonical(record: dict) -> bytes:
-    """JSON bytes with sorted keys, no blanks, no NaN."""
-    return json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()
+    """ASCII JSON bytes with sorted keys, no blanks, no NaN."""
+    return json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False).encode("ascii")
 
 
-def leaf(record: dict) -> bytes:
-    return hashlib.sha256(b"\x00" + canonical(record)).digest()
+def leaf(record: dict) -> str:
+    """Hex digest of a record's canonical bytes."""
+    return hashlib.sha256(canonical(record)).hexdigest()
 
 
-def merkle_root(leaves: list[bytes]) -> bytes:
-    """Root over the leaves; an odd node is paired with itself; no leaves: the hash of nothing."""
-    if not leaves:
-        return hashlib.sha256(b"").digest()
-    level = leaves
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\x01" + level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
-    return level[0]
+# Fixed value: the head of an empty log.
+GENESIS = "0" * 64
+
+
+def _pair(left: str, right: str) -> str:
+    return hashlib.sha256((left + right).encode("ascii")).hexdigest()
 
 
 class Log:
-    """Append-only log whose head commits to all records before it."""
+    """Append-only log whose head commits to all records before it.
+
+    A node is the digest of its children's hex digests; an odd node is paired with
+    itself. The right edge of the tree is kept, so appending costs the depth of the
+    tree and not its size.
+    """
 
     def __init__(self) -> None:
-        self.leaves: list[bytes] = []
-        self.heads: list[bytes] = []
+        self.leaves: list[str] = []
+        self.heads: list[str] = []
+        # roots of the full subtrees from the left: (height, digest)
+        self._full: list[tuple[int, str]] = []
 
-    def append(self, record: dict) -> bytes:
+    def append(self, record: dict) -> str:
         self.leaves.append(leaf(record))
-        self.heads.append(merkle_root(self.leaves))
+        node, height = self.leaves[-1], 0
+        while self._full and self._full[-1][0] == height:
+            node, height = _pair(self._full.pop()[1], node), height + 1
+        self._full.append((height, node))
+        self.heads.append(self._head())
         return self.heads[-1]
 
+    def _head(self) -> str:
+        height, node = self._full[-1]
+        for above, full in reversed(self._full[:-1]):
+            while height < above:  # a level on which this node has no neighbour
+                node, height = _pair(node, node), height + 1
+            node, height = _pair(full, node), height + 1
+        return node
+
     def verify(self, records: list[dict]) -> bool:
         """Whether the records are exactly those of the log, in order."""
-        return [leaf(r) for r in records] == self.leaves and all(merkle_root(self.leaves[: i + 1]) == h for i, h in enumerate(self.heads))
+        again = Log()
+        for r in records:
+            again.append(r)
+        return again.leaves == self.leaves and again.heads == self.heads
+
+
+def merkle_root(leaves: list[str]) -> str:
+    """Root over leaf digests, level by level; no leaves: the head of an empty log."""
+    level = list(leaves)
+    while len(level) > 1:
+        level = [_pair(level[i], level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+    return level[0] if level else GENESIS
 
 
 def replay_digest(record: dict, field: str = "replay_sha256") -> str:

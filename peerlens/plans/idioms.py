@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from peerlens.functions import arrays, stats, text
 from peerlens.operators import evaluate
+from peerlens.operators.ordered import exact_medians, running_total
 from peerlens.plans import base
 from peerlens.runtime import table
 from peerlens.sources import capture, sinks
@@ -207,7 +208,8 @@ def agg06_07_quantiles(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {base.TX} SELECT txid, fee_rate_sat_vb - (SELECT median(fee_rate_sat_vb) FROM tx) AS dev FROM tx")
 def agg10_scalar_reuse(spark: SparkSession, root: str) -> DataFrame:
     t = base.tx(spark, root)
-    return t.join(F.broadcast(t.agg(F.median("fee_rate_sat_vb").alias("m")))).select("txid", (F.col("fee_rate_sat_vb") - F.col("m")).alias("dev"))
+    # the median by running totals over ranges, so no task holds all values; one row
+    return t.join(F.broadcast(exact_medians(t, [], "fee_rate_sat_vb", "m"))).select("txid", (F.col("fee_rate_sat_vb") - F.col("m")).alias("dev"))
 
 
 @query("SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT run_id, subject_id, address, start_us, end_us, partition_mode FROM members)) AS n_distinct, (SELECT count(*) FROM (SELECT DISTINCT txid, estimator, peer_ip FROM origin_estimates)) AS n_keys FROM members")
@@ -265,7 +267,8 @@ def srt03_time_split(spark: SparkSession, root: str) -> DataFrame:
 def srt06_downsample(spark: SparkSession, root: str) -> DataFrame:
     """Every third point of the block series; the series has one row per block."""
     series = table(spark, root, "sealed").where("block_height is not null").groupBy("block_height").agg(F.count(F.lit(1)).alias("n"))
-    return _long(series.withColumn("i", F.row_number().over(Window.orderBy("block_height"))).where("(i - 1) % 3 = 0").select("block_height", "n"), "block_height")
+    placed = running_total(series.withColumn("one", F.lit(1).cast("long")), [], [F.col("block_height").asc()], "one", "i")
+    return _long(placed.where("(i - 1) % 3 = 0").select("block_height", "n"), "block_height")
 
 
 @query("""SELECT 'union' AS op, peer_ip AS k FROM (SELECT peer_ip FROM origin_abstain UNION SELECT peer_ip FROM origin_estimates) UNION ALL SELECT 'common', peer_ip FROM (SELECT peer_ip FROM origin_abstain INTERSECT SELECT peer_ip FROM origin_estimates)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peerlens.operators import evaluate
-from peerlens.plans import base, scoring
+from peerlens.plans import base, network, scoring
 from peerlens.runtime import table
 
 QUERIES: dict = {}
@@ -104,33 +104,26 @@ def evl19_table_diff(spark: SparkSession, root: str) -> DataFrame:
     return differing_rows(table(spark, root, "origin_abstain").select("peer_ip"), table(spark, root, "origin_estimates").select("peer_ip"))
 
 
-@query(f"""WITH {_SCORED}, p AS (SELECT id, y::INT AS y, (score + 1) / 2 AS q, id % 2 = 0 AS cal FROM scored), s AS (SELECT y, CASE WHEN y = 1 THEN 1 - q ELSE q END AS s FROM p WHERE cal),
-    r AS (SELECT y, s, row_number() OVER (PARTITION BY y ORDER BY s) AS i, count(*) OVER (PARTITION BY y) AS n FROM s), k AS (SELECT max(s) FILTER (y = 0) AS q0, max(s) FILTER (y = 1) AS q1 FROM r WHERE i = ceil((n + 1) * 0.9)),
-    w AS (SELECT id, round(q, 9) AS q, q <= q0 AS in0, 1 - q <= q1 AS in1 FROM p, k WHERE NOT cal)
-    SELECT id, CASE WHEN in0 AND in1 THEN 'UNCLEAR' WHEN in1 THEN 'LIKELY_ILLICIT' WHEN in0 THEN 'LIKELY_LICIT' ELSE 'ABSTAIN' END AS label, CASE WHEN in0 AND in1 THEN 0.0 ELSE round(q * 0.85, 6) END::DOUBLE AS conf_low, CASE WHEN in0 AND in1 THEN 1.0 ELSE round(least(q * 1.15, 1.0), 6) END::DOUBLE AS conf_high FROM w""")
-def mdl02_conformal_sets(spark: SparkSession, root: str) -> DataFrame:
-    """MDL-02, 04 and 05: class-conditional sets, their label and the display band."""
-    p = scored(spark, root).withColumn("q", (F.col("score") + 1) / 2)
-    quantiles = evaluate.conformal_quantiles(p.where("id % 2 = 0"), "q", "y")
-    out = evaluate.conformal_sets(p.where("id % 2 <> 0"), "q", quantiles)
-    return out.select("id", "label", F.round("conf_low", 6).alias("conf_low"), F.round("conf_high", 6).alias("conf_high"))
-
-
 def _calibrated(spark: SparkSession, root: str) -> DataFrame:
     """All scored rows with sets; ``is_calibration`` marks the rows that the quantiles come from, which is every labelled one with a score."""
     p = scored(spark, root).withColumn("q", (F.col("score") + 1) / 2).withColumn("is_calibration", F.col("y").isNotNull() & F.col("q").isNotNull())
     return evaluate.conformal_sets(p, "q", evaluate.conformal_quantiles(p.where("is_calibration"), "q", "y"))
 
 
-@query()
+@query(f"""WITH {_SCORED}, p AS (SELECT id, y, (score + 1) / 2 AS q FROM scored), s AS (SELECT y, CASE WHEN y THEN 1 - q ELSE q END AS s FROM p WHERE y IS NOT NULL AND q IS NOT NULL),
+    r AS (SELECT y, s, row_number() OVER (PARTITION BY y ORDER BY s) AS i, count(*) OVER (PARTITION BY y) AS n FROM s), k AS (SELECT max(s) FILTER (NOT y) AS q0, max(s) FILTER (y) AS q1 FROM r WHERE i = ceil((n + 1) * 0.9)),
+    w AS (SELECT id, y IS NOT NULL AND q IS NOT NULL AS is_calibration, q, q <= q0 AS in0, 1 - q <= q1 AS in1 FROM p, k)
+    SELECT id, is_calibration, CASE WHEN in0 AND in1 THEN 'UNCLEAR' WHEN in1 THEN 'LIKELY_ILLICIT' WHEN in0 THEN 'LIKELY_LICIT' ELSE 'ABSTAIN' END AS label, CASE WHEN in0 AND in1 THEN 0.0 ELSE round(greatest(q * 0.85, 0), 6) END::DOUBLE AS conf_low, CASE WHEN in0 AND in1 THEN 1.0 ELSE round(least(q * 1.15, 1.0), 6) END::DOUBLE AS conf_high FROM w""")
 def mdl02_all_sets(spark: SparkSession, root: str) -> DataFrame:
-    """A set, label and band for every embedding; ``mdl02_conformal_sets`` is held to odd ids by its twin."""
+    """MDL-02, 04 and 05: a class-conditional set, its label and the display band for every row."""
     return _calibrated(spark, root).select("id", "is_calibration", "label", F.round("conf_low", 6).alias("conf_low"), F.round("conf_high", 6).alias("conf_high"))
 
 
-@query()
+@query(f"""WITH {_SCORED}, s AS (SELECT y::INT AS truth, CASE WHEN y THEN 1 - (score + 1) / 2 ELSE (score + 1) / 2 END AS s, (score + 1) / 2 AS q FROM scored WHERE y IS NOT NULL AND score IS NOT NULL),
+    r AS (SELECT truth, s, row_number() OVER (PARTITION BY truth ORDER BY s) AS i, count(*) OVER (PARTITION BY truth) AS n FROM s), k AS (SELECT truth, max(s) AS top FROM r WHERE i = ceil((n + 1) * 0.9) GROUP BY truth)
+    SELECT truth, count(*) AS n, round(avg((s <= top)::INT), 9) AS coverage FROM s JOIN k USING (truth) GROUP BY truth""")
 def mdl06_coverage(spark: SparkSession, root: str) -> DataFrame:
-    return evaluate.coverage(_calibrated(spark, root).where("is_calibration"), "y")
+    return evaluate.coverage(_calibrated(spark, root).where("is_calibration"), "y").select(F.col("truth").cast("long").alias("truth"), "n", F.round("coverage", 9).alias("coverage"))
 
 
 # Risk of a subject here: the share of its sends that were refused an origin, plus its typologies.
@@ -197,17 +190,16 @@ def api10_funnel(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"""WITH {base.SIDES}, t AS (SELECT txid, peer_ip, p_origin, margin FROM (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY p_origin DESC, margin DESC, peer_ip) AS r FROM origin_estimates
         WHERE estimator = 'ensemble' AND rank = 1 AND NOT abstain AND p_origin IS NOT NULL AND NOT isnan(p_origin) AND peer_ip IS NOT NULL) WHERE r = 1),
-      o AS (SELECT DISTINCT c.cluster_id AS subject_id, s.txid FROM (SELECT cluster_id, unnest(addresses) AS address FROM clusters) c JOIN sides s ON s.address = c.address WHERE side = 'out')
+      {network.SUBJECTS}, o AS (SELECT DISTINCT c.subject_id, s.txid FROM subject_map c JOIN sides s ON s.address = c.address WHERE side = 'out')
     SELECT subject_id, txid AS origin_txid, peer_ip AS origin_peer_ip FROM (SELECT o.subject_id, t.*, row_number() OVER (PARTITION BY subject_id ORDER BY p_origin DESC, margin DESC NULLS LAST, t.txid) AS k FROM o JOIN t USING (txid)) WHERE k = 1""")
 def alr02_anchor(spark: SparkSession, root: str) -> DataFrame:
-    """Of each cluster's receipts the transaction with the surest origin."""
+    """Of each subject's receipts the transaction with the surest origin."""
     from peerlens.operators.normalise import sides
 
     e = table(spark, root, "origin_estimates").where((F.col("estimator") == "ensemble") & (F.col("rank") == 1) & ~F.col("abstain") & F.col("p_origin").isNotNull() & ~F.isnan("p_origin") & F.col("peer_ip").isNotNull())
     best = Window.partitionBy("txid").orderBy(F.desc("p_origin"), F.col("margin").desc_nulls_last(), "peer_ip")
     top = e.withColumn("r", F.row_number().over(best)).where("r = 1").select("txid", "peer_ip", "p_origin", "margin")
-    own = table(spark, root, "clusters").select(F.col("cluster_id").alias("subject_id"), F.explode("addresses").alias("address"))
-    got = own.join(sides(base.tx(spark, root)).where("side = 'out'").select("address", "txid"), "address").select("subject_id", "txid").distinct()
+    got = network.subjects(spark, root).join(sides(base.tx(spark, root)).where("side = 'out'").select("address", "txid"), "address").select("subject_id", "txid").distinct()
     w = Window.partitionBy("subject_id").orderBy(F.desc("p_origin"), F.col("margin").desc_nulls_last(), "txid")
     return got.join(top, "txid").withColumn("k", F.row_number().over(w)).where("k = 1").select("subject_id", F.col("txid").alias("origin_txid"), F.col("peer_ip").alias("origin_peer_ip"))
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peerlens.functions import text
-from peerlens.operators import evaluate, generate, models, normalise, origin
-from peerlens.plans import base, network, scoring
+from peerlens.operators import evaluate, generate, models, normalise, ordered, origin
+from peerlens.plans import base, intake, measures, network, problems, scoring
 from peerlens.runtime import durable, table
 
 QUERIES: dict = {}
@@ -144,14 +144,15 @@ def evl17_delays(spark: SparkSession, root: str) -> DataFrame:
     return j.groupBy("txid").agg(F.count(F.lit(1)).alias("n"), F.min("delay").alias("least_delay_us"), F.min_by("row_id", F.struct("delay", "row_id")).alias("least_row"))
 
 
-@query("""SELECT cluster_id, row_number() OVER (ORDER BY 1 - min_edge_confidence DESC, cluster_id) AS rank, CASE WHEN 1 - min_edge_confidence > 0.65 THEN 'high' WHEN 1 - min_edge_confidence > 0.40 THEN 'medium' ELSE 'low' END AS severity
-    FROM clusters WHERE n_addresses >= 10 ORDER BY rank LIMIT 200""")
+@query(f"""WITH {measures._SCORED}, p AS (SELECT id, y, (score + 1) / 2 AS q FROM scored), s AS (SELECT y, CASE WHEN y THEN 1 - q ELSE q END AS s FROM p WHERE y IS NOT NULL AND q IS NOT NULL),
+    r AS (SELECT y, s, row_number() OVER (PARTITION BY y ORDER BY s) AS i, count(*) OVER (PARTITION BY y) AS n FROM s), k AS (SELECT max(s) FILTER (NOT y) AS q0, max(s) FILTER (y) AS q1 FROM r WHERE i = ceil((n + 1) * 0.9)),
+    w AS (SELECT id, q, q <= q0 AS in0, 1 - q <= q1 AS in1 FROM p, k)
+    SELECT id, row_number() OVER (ORDER BY q DESC, id) AS rank, round(q, 9) AS risk, CASE WHEN q > 0.65 THEN 'high' WHEN q > 0.40 THEN 'medium' ELSE 'low' END AS severity FROM w WHERE NOT (in0 AND NOT in1)""")
 def alr01_ranked(spark: SparkSession, root: str) -> DataFrame:
-    """The two hundred weakest larger clusters, ranked with a total order and banded."""
-    c = table(spark, root, "clusters").where("n_addresses >= 10").withColumn("risk", 1 - F.col("min_edge_confidence"))
-    top = c.orderBy(F.desc("risk"), "cluster_id").limit(200)
-    w = Window.orderBy(F.desc("risk"), "cluster_id")  # over the two hundred rows
-    return top.select("cluster_id", F.row_number().over(w).cast("long").alias("rank"), F.when(F.col("risk") > 0.65, "high").when(F.col("risk") > 0.40, "medium").otherwise("low").alias("severity"))
+    """Every scored row whose set does not clear it, ranked by risk in a total order and banded."""
+    kept = measures._calibrated(spark, root).where("label <> 'LIKELY_LICIT'").select("id", F.col("q").alias("risk"), F.lit(1).cast("long").alias("one"))
+    ranked = ordered.running_total(kept, [], [F.col("risk").desc(), F.col("id").asc()], "one", "rank")
+    return ranked.select("id", "rank", F.round("risk", 9).alias("risk"), F.when(F.col("risk") > 0.65, "high").when(F.col("risk") > 0.40, "medium").otherwise("low").alias("severity"))
 
 
 @query("""WITH s AS (SELECT peer_ip, count(DISTINCT subject) AS n FROM (SELECT peer_ip, txid AS subject FROM origin_abstain WHERE peer_ip IS NOT NULL) GROUP BY peer_ip)
@@ -169,7 +170,7 @@ def alr04_counter_evidence(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@query("""SELECT 'peer ' || CASE WHEN peer_ip LIKE '%:%' THEN split_part(peer_ip, ':', 1) || ':' || split_part(peer_ip, ':', 2) || '::…' ELSE split_part(peer_ip, '.', 1) || '.' || split_part(peer_ip, '.', 2) || '.x.x' END || ' first of ' || n || ' peers' AS line, txid
+@query("""SELECT 'peer ' || CASE WHEN peer_ip LIKE '%:%' THEN split_part(peer_ip, ':', 1) || ':' || split_part(peer_ip, ':', 2) || ':x:x' ELSE split_part(peer_ip, '.', 1) || '.' || split_part(peer_ip, '.', 2) || '.x.x' END || ' first of ' || n || ' peers' AS line, txid
     FROM (SELECT txid, arg_min(src_ip, (ts_us, row_id)) AS peer_ip, count(DISTINCT src_ip) AS n FROM sealed WHERE ts_us IS NOT NULL GROUP BY txid)""")
 def alr03_evidence_lines(spark: SparkSession, root: str) -> DataFrame:
     """One redacted line of network evidence per transaction."""
@@ -195,8 +196,52 @@ def api08_alert_page(spark: SparkSession, root: str) -> DataFrame:
     return page.select("cluster_id", F.col("n_addresses").cast("long").alias("n_addresses"), "min_edge_confidence")
 
 
-@query("""SELECT feed, encoding, count(*) AS n_files, min(arrived_us) AS first_us, max(arrived_us) AS last_us, count(DISTINCT array_to_string(headers, ',')) AS n_headers FROM capture_files GROUP BY feed, encoding""")
+@query(f"""WITH a AS ({intake.ORACLES["val10_13_accounting"]}), c AS ({intake.ORACLES["val11_src08_mapped_columns"]}), t AS (SELECT sum(n)::BIGINT AS n_read, coalesce(sum(n) FILTER (reject_reason IS NULL), 0)::BIGINT AS n_loaded, coalesce(sum(n) FILTER (reject_reason IS NOT NULL), 0)::BIGINT AS n_rejected FROM a)
+    SELECT 'rows' AS section, 'read' AS name, n_read AS n FROM t UNION ALL SELECT 'rows', 'loaded', n_loaded FROM t UNION ALL SELECT 'rows', 'rejected', n_rejected FROM t
+    UNION ALL SELECT 'check', 'adds_up', (n_read = n_loaded + n_rejected)::INT FROM t UNION ALL SELECT 'reason', reject_reason, n FROM a WHERE reject_reason IS NOT NULL
+    UNION ALL SELECT 'mapped', column_name, n_files FROM c
+    UNION ALL SELECT 'reject', line_id::VARCHAR, rn FROM (SELECT line_id, row_number() OVER (ORDER BY line_id) AS rn FROM ({problems.ORACLES["p7_found"]})) WHERE rn <= 200""")
 def api01_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(section, name, n): row counts and whether they add up, reasons, files that map each column, the first two hundred rejects."""
+    a = durable(intake.val10_13_accounting(spark, root), "accounting")
+    t = a.agg(F.sum("n").alias("n_read"), F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("n"))), F.lit(0)).alias("n_loaded"), F.coalesce(F.sum(F.when(F.col("reject_reason").isNotNull(), F.col("n"))), F.lit(0)).alias("n_rejected"))
+    row = lambda df, section, name, n: df.select(F.lit(section).alias("section"), name.alias("name"), n.cast("long").alias("n"))
+    first = problems.p7_found(spark, root).orderBy("line_id").limit(200).select("line_id")
+    w = Window.orderBy("line_id")  # over the two hundred rows
+    return reduce(DataFrame.unionByName, [
+        *[row(t, "rows", F.lit(k), F.col(f"n_{k}")) for k in ("read", "loaded", "rejected")],
+        row(t, "check", F.lit("adds_up"), F.col("n_read") == F.col("n_loaded") + F.col("n_rejected")),
+        row(a.where("reject_reason is not null"), "reason", F.col("reject_reason"), F.col("n")),
+        row(intake.val11_src08_mapped_columns(spark, root), "mapped", F.col("column_name"), F.col("n_files")),
+        row(first.withColumn("n", F.row_number().over(w)), "reject", F.col("line_id").cast("string"), F.col("n")),
+    ])
+
+
+@query("""WITH b AS (SELECT block_height, count(*) AS n FROM sealed WHERE block_height IS NOT NULL GROUP BY block_height), i AS (SELECT *, row_number() OVER (ORDER BY block_height) - 1 AS pos, count(*) OVER () AS k FROM b)
+    SELECT block_height::BIGINT AS block_height, n FROM i WHERE pos % ((k + 1999) // 2000) = 0""")
+def api02_block_series(spark: SparkSession, root: str) -> DataFrame:
+    """Announcements by block, thinned evenly to at most two thousand points."""
+    series = durable(table(spark, root, "sealed").where("block_height is not null").groupBy("block_height").agg(F.count(F.lit(1)).alias("n")), "series")
+    step = max(1, -(-series.count() // 2_000))
+    placed = ordered.running_total(series.withColumn("one", F.lit(1).cast("long")), [], [F.col("block_height").asc()], "one", "upto")
+    return placed.where((F.col("upto") - 1) % step == 0).select(F.col("block_height").cast("long").alias("block_height"), "n")
+
+
+@query(f"""WITH {scoring.CAND}, {scoring.FIRST}, f AS (SELECT min(txid) AS txid FROM ann WHERE rank_in_tx > 1), l AS (SELECT a.txid, peer_ip, min(seen_us) AS first_us, count(*) AS n FROM ann a JOIN f USING (txid) GROUP BY ALL)
+    SELECT l.txid, l.peer_ip, first_us - min(first_us) OVER () AS offset_us, n, round(p_origin, 6) + 0.0 AS p_origin, row_number() OVER (ORDER BY p_origin DESC, l.peer_ip) = 1 AS leads, abstain FROM l JOIN est e ON e.txid = l.txid AND e.peer_ip = l.peer_ip""")
+def api04_origin(spark: SparkSession, root: str, txid: str | None = None) -> DataFrame:
+    """The lanes of one transaction (default: the first with two ranks) with their offset and probability, and which of them leads."""
+    a = base.ann(spark, root)
+    txid = txid or a.where("rank_in_tx > 1").agg(F.min("txid")).first()[0]
+    lanes = a.where(F.col("txid") == F.lit(txid)).groupBy("txid", "peer_ip").agg(F.min("seen_us").alias("first_us"), F.count(F.lit(1)).alias("n"))
+    est = origin.first_spy(scoring.candidates(spark, root)).where(F.col("txid") == F.lit(txid)).select("txid", "peer_ip", "p_origin", "abstain")
+    one = Window.partitionBy("txid")
+    return lanes.join(est, ["txid", "peer_ip"]).select(
+        "txid", "peer_ip", (F.col("first_us") - F.min("first_us").over(one)).alias("offset_us"), "n", F.round("p_origin", 6).alias("p_origin"), (F.row_number().over(one.orderBy(F.desc("p_origin"), "peer_ip")) == 1).alias("leads"), "abstain")
+
+
+@query("""SELECT feed, encoding, count(*) AS n_files, min(arrived_us) AS first_us, max(arrived_us) AS last_us, count(DISTINCT array_to_string(headers, ',')) AS n_headers FROM capture_files GROUP BY feed, encoding""")
+def api01_custody(spark: SparkSession, root: str) -> DataFrame:
     """Custody of the capture files by feed and encoding."""
     f = table(spark, root, "capture_files")
     return f.groupBy("feed", "encoding").agg(F.count(F.lit(1)).alias("n_files"), F.min("arrived_us").alias("first_us"), F.max("arrived_us").alias("last_us"), F.count_distinct(F.array_join("headers", ",")).alias("n_headers"))
