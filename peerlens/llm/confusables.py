@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from peerlens.runtime import discard, durable, hot_keys, skew_join
+from peerlens.runtime import discard, durable, hot_keys, ship, skew_join
 
 # Letters of several scripts that look alike, one class a line, plain letter first.
 LOOKALIKES = """
@@ -206,6 +206,7 @@ def normalised_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 def spread(slim: DataFrame) -> DataFrame:
     """``slim`` over at least as many partitions as there are cores."""
+    ship(slim.sparkSession)
     cores = slim.sparkSession.sparkContext.defaultParallelism
     return slim.repartition(cores) if slim.rdd.getNumPartitions() < cores else slim
 

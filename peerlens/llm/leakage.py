@@ -343,7 +343,25 @@ def _best(doc: np.ndarray, item: np.ndarray, length: np.ndarray) -> tuple[np.nda
     return doc[first], item[first], length[first]
 
 
-def _near_search(corpus: DataFrame, block: Items, frequency: np.ndarray) -> DataFrame:
+def word_counts(corpus: DataFrame, known: np.ndarray) -> np.ndarray:
+    """How often each of the ordered known words, those of one block, stands in the whole corpus."""
+    shared = corpus.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            at = numbered(_flat(batch)[0], shared.value)
+            total += np.bincount(at[at >= 0], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["word", "n"])
+
+    out = np.zeros(len(known), np.int64)
+    for r in corpus.mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r["word"]] = r["n"]
+    return out
+
+
+def _near_search(corpus: DataFrame, block: Items, _: None) -> DataFrame:
     """Paraphrased passages: doc_id, item_id, score, answered.
 
     A passage that shares NEED of its words in order misses at most WIDTH - NEED of
@@ -352,9 +370,8 @@ def _near_search(corpus: DataFrame, block: Items, frequency: np.ndarray) -> Data
     """
     anchors = WIDTH - NEED + 1
     known = np.unique(block.terms)
-    at = block.starts[:, None] + np.arange(WIDTH)
-    passages = numbered(block.terms, known)[at]
-    rarest = np.argsort(frequency[columns_of(block.terms[at])], axis=1, kind="stable")[:, :anchors]
+    passages = numbered(block.terms, known)[block.starts[:, None] + np.arange(WIDTH)]
+    rarest = np.argsort(word_counts(corpus, known)[passages], axis=1, kind="stable")[:, :anchors]
     keys = np.unique(np.stack([np.take_along_axis(passages, rarest, 1).ravel().astype(np.int64), np.repeat(np.arange(len(passages)), anchors)], axis=1), axis=0)
     bounds = np.searchsorted(keys[:, 0], np.arange(len(known) + 1))
     answers = {k: v for k, v in block.answers.items() if v}
@@ -443,5 +460,5 @@ def paraphrases(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     ten words; the search is exact); answered tells whether the document holds all words of
     the item's answer. Rules for nulls and empty tables as in :func:`leaks`.
     """
-    found = _run(documents, items, lambda corpus: document_frequencies(corpus)[0], _near_search, "doc_id long, item_id long, score double, answered boolean", id_col, text_col)
+    found = _run(documents, items, lambda corpus: None, _near_search, "doc_id long, item_id long, score double, answered boolean", id_col, text_col)
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.bool_or("answered").alias("answered"))

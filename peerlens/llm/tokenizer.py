@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peerlens.runtime import ship
+
 # Folder of the vocabulary files; the files are read where they are.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the pre-token pattern of byte_bpe_50k.
@@ -153,4 +155,5 @@ def encode_corpus(documents: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken
     cores = documents.sparkSession.sparkContext.defaultParallelism
     if slim.rdd.getNumPartitions() < cores:
         slim = slim.repartition(cores)
+    ship(slim.sparkSession)
     return slim.mapInArrow(encode, f"`{id_col}` long, ids array<long>")
