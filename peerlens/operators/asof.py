@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerlens.operators.ordered import last_before
+from peerlens.runtime import durable
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, right_on: str, payload: list[str], direction: str = "backward", strict: bool = False, hot_rows: int = 1_000_000) -> DataFrame:
@@ -61,9 +62,12 @@ def ip_key(ip):
     return F.lower(F.coalesce(v4, v6))
 
 
-def cidr_bounds(network):
-    """Struct(low, high) of a CIDR block as :func:`ip_key` values; null if malformed."""
-    base = ip_key(F.substring_index(network, "/", 1))
+def cidr_bounds(network, base=None):
+    """Struct(low, high) of a CIDR block as :func:`ip_key` values; null if malformed.
+
+    ``base`` is the key of the block's address, if a column already has it.
+    """
+    base = ip_key(F.substring_index(network, "/", 1)) if base is None else base
     bits = F.substring_index(network, "/", -1).try_cast("int")
     size = F.when(base.startswith("4"), 32).otherwise(128)
     ok = network.contains("/") & base.isNotNull() & bits.between(0, size)
@@ -88,8 +92,10 @@ def cidr_lookup(ips: DataFrame, blocks: DataFrame, ip: str, network: str, payloa
     last block that begins at or before it, family by family; the as-of join
     splits a family of very many rows into ranges, so a block is never listed twice.
     """
-    left = ips.withColumn("_k", ip_key(F.col(ip))).withColumn("_family", F.substring("_k", 1, 1))
-    b = blocks.select(cidr_bounds(F.col(network)).alias("_b"), *payload).where(F.col("_b").isNotNull()).select(F.substring("_b.low", 1, 1).alias("_family"), F.col("_b.low").alias("_low"), F.col("_b.high").alias("_high"), *payload)
+    # keys are long expressions: each is made in a projection of its own and written once
+    left = durable(ips.withColumn("_k", ip_key(F.col(ip))), "keys").withColumn("_family", F.substring("_k", 1, 1))
+    based = durable(blocks.withColumn("_base", ip_key(F.substring_index(network, "/", 1))), "blocks")
+    b = based.select(cidr_bounds(F.col(network), F.col("_base")).alias("_b"), *payload).where(F.col("_b").isNotNull()).select(F.substring("_b.low", 1, 1).alias("_family"), F.col("_b.low").alias("_low"), F.col("_b.high").alias("_high"), *payload)
     joined = asof_join(left, b, ["_family"], "_k", "_low", ["_high", *payload])
     inside = F.col("_k") <= F.col("_high")
     return joined.select(*[F.col(c) for c in ips.columns], *[F.when(inside, F.col(p)).alias(p) for p in payload])
