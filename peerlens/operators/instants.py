@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlens.runtime import durable, shared_dir, skew_join
@@ -140,6 +140,16 @@ def instant_dictionary(rows: DataFrame, known: DataFrame | None = None) -> DataF
     return parse_new(keyed_texts(rows.where(F.col("raw").isNotNull()).select(*KEY)).distinct(), known)
 
 
+def dictionary_runs(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the finished runs of a persisted dictionary, in order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop.Path(path)):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop.Path(path)) if s.isDirectory())
+    return [f"{path}/{n}" for n in names if n.startswith("run=") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
+
+
 def normalise_instants(
     sealed: DataFrame,
     observers: DataFrame,
@@ -165,10 +175,12 @@ def normalise_instants(
     # the texts of this call and how often each occurs now, whatever earlier calls saw
     texts = durable(keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_rows")), "texts")
     path = dictionary_path or f"{shared_dir(spark)}/instants-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    known = spark.read.parquet(path) if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else None
-    parse_new(texts, known).write.mode("append").parquet(path)
-    found = spark.read.schema("raw string, zone string, date_order string, ts_us long").parquet(path).where(F.col("ts_us").isNotNull())
+    # every run adds a folder; runs are read by their folders, as two readings of one growing folder would pass for the same
+    schema, runs = "raw string, zone string, date_order string, ts_us long", dictionary_runs(spark, path)
+    known = spark.read.schema(schema).parquet(*runs) if runs else None
+    runs.append(f"{path}/run={len(runs):06d}-{uuid.uuid4().hex}")
+    parse_new(texts, known).write.parquet(runs[-1])
+    found = spark.read.schema(schema).parquet(*runs).where(F.col("ts_us").isNotNull())
     # texts with very many rows are split: their entries are met in several tasks
     total, top = texts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.max("n_rows"), F.lit(0))).first()
     bound = max(hot_rows, total // 20_000)

@@ -114,7 +114,7 @@ def arr11_gaps(spark: SparkSession, root: str) -> DataFrame:
     return g.groupBy("address").agg(F.round(F.avg("gap") / 3.6e9, 6).alias("mean_gap"), F.round(F.stddev_samp("gap") / 3.6e9, 6).alias("std_gap"), F.count("gap").alias("n")).where("n > 1").drop("n")
 
 
-@query("""SELECT row_id, CASE WHEN src_ip LIKE '%:%' THEN split_part(src_ip, ':', 1) || ':' || split_part(src_ip, ':', 2) || '::…' ELSE split_part(src_ip, '.', 1) || '.' || split_part(src_ip, '.', 2) || '.x.x' END AS ip_label,
+@query("""SELECT row_id, CASE WHEN src_ip LIKE '%:%' THEN split_part(src_ip, ':', 1) || ':' || split_part(src_ip, ':', 2) || ':x:x' ELSE split_part(src_ip, '.', 1) || '.' || split_part(src_ip, '.', 2) || '.x.x' END AS ip_label,
     left(txid, 8) || '…' || right(txid, 4) AS tx_label, 'peer:' || src_ip AS node, src_ip AS bare, len(string_split(src_ip, '.'))::BIGINT AS n_parts, (length(src_ip) - length(replace(src_ip, '.', '')))::BIGINT AS n_dots,
     lower(msg_type) AS msg, array_to_string(output_addresses, '|') AS joined, CASE WHEN length(txid || msg_type) >= 68 THEN left(txid || msg_type, 64) || '...' ELSE txid || msg_type END AS prose FROM sealed""")
 def str01_07_strings(spark: SparkSession, root: str) -> DataFrame:

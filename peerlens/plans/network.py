@@ -199,7 +199,7 @@ ORACLES = {
       ops AS (SELECT asn, min(as_org) AS org, min(first_us) AS f, max(last_us) AS l FROM peers WHERE asn IS NOT NULL GROUP BY asn)
       SELECT 'addr:' || address AS node_id, 'addr' AS kind, CASE WHEN length(address) >= 11 THEN left(address, 6) || '…' || right(address, 4) ELSE address END AS label, min(at_us) AS first_us, max(at_us) AS last_us FROM sides GROUP BY address
       UNION ALL SELECT 'tx:' || txid, 'tx', CASE WHEN length(txid) >= 13 THEN left(txid, 8) || '…' || right(txid, 4) ELSE txid END, first_seen_us, last_seen_us FROM tx
-      UNION ALL SELECT 'peer:' || peer_ip, 'peer', CASE WHEN peer_ip LIKE '%:%' THEN split_part(peer_ip, ':', 1) || ':' || split_part(peer_ip, ':', 2) || '::…' ELSE split_part(peer_ip, '.', 1) || '.' || split_part(peer_ip, '.', 2) || '.x.x' END, first_us, last_us FROM peers
+      UNION ALL SELECT 'peer:' || peer_ip, 'peer', CASE WHEN peer_ip LIKE '%:%' THEN split_part(peer_ip, ':', 1) || ':' || split_part(peer_ip, ':', 2) || ':x:x' ELSE split_part(peer_ip, '.', 1) || '.' || split_part(peer_ip, '.', 2) || '.x.x' END, first_us, last_us FROM peers
       UNION ALL SELECT 'asn:' || asn, 'asn', coalesce(org, 'AS' || asn), f, l FROM ops""",
     "grf02_flows": f"""WITH {base.SIDES} SELECT CASE side WHEN 'in' THEN 'addr:' || address ELSE 'tx:' || txid END AS src, CASE side WHEN 'in' THEN 'tx:' || txid ELSE 'addr:' || address END AS dst,
       CASE side WHEN 'in' THEN 'SPENDS' ELSE 'RECEIVES' END AS kind, at_us AS ts_us, sats, 1.0::DOUBLE AS confidence, 'observed' AS evidence FROM sides""",

@@ -83,6 +83,10 @@ def test_dictionary_grows(spark, tmp_path):
     assert normalise_instants(a, obs, path).count() == 1
     assert normalise_instants(b, obs, path).count() == 2
     assert spark.read.parquet(path).count() == 3  # nothing was parsed twice
+    # both results in one plan see their own state of the dictionary
+    fresh = str(tmp_path / "fresh")
+    first, second = normalise_instants(a, obs, fresh), normalise_instants(b, obs, fresh)
+    assert sorted(r["row_id"] for r in first.unionByName(second).collect()) == [1, 3, 4]
 
 
 def test_text_that_becomes_hot_later_is_split(spark, tmp_path):
