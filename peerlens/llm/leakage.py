@@ -315,13 +315,16 @@ def _exact_search(corpus: DataFrame, block: Items, latent: np.ndarray) -> DataFr
                 if not len(hit):
                     continue
                 many = (hi - lo)[hit]
-                for cut in range(0, len(hit), 10_000):  # bounds the candidate pairs alive at once
-                    h, m = hit[cut : cut + 10_000], many[cut : cut + 10_000]
+                pairs, cut = np.r_[0, np.cumsum(many)], 0
+                while cut < len(hit):  # bounds the candidate pairs alive at once
+                    upto = max(cut + 1, int(np.searchsorted(pairs, pairs[cut] + 200_000, "right")) - 1)
+                    h, m, cut = hit[cut:upto], many[cut:upto], upto
                     q = np.repeat(h, m)
                     k = np.repeat(lo[h], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                     vq = v[q].astype(np.float64)
                     cosine = np.einsum("ij,ij->i", vq, items_v[k]) / np.maximum(np.linalg.norm(vq, axis=1) * norms[k], 1e-9)
-                    near = cosine >= EXACT_COSINE
+                    # equal vectors are near by definition, also where rounding left them nothing but zeros
+                    near = (cosine >= EXACT_COSINE) | (v[q] == items_v[k]).all(axis=1)
                     q, k = q[near], k[near]
                     same = np.ones(len(q), bool)  # the common run must be the whole passage
                     for w in range(WIDTH):

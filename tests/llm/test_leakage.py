@@ -155,6 +155,14 @@ def test_latent_space_knows_topics(spark):
     assert np.mean(near) > np.mean(far) + 0.15
 
 
+def test_no_run_depends_on_the_vectors(spark, monkeypatch):
+    docs, items = corpus(12)
+    docs, items = docs[:60], items[:25]
+    monkeypatch.setattr(leakage, "latent_terms", lambda terms: np.zeros((leakage.COLUMNS, leakage.RANK), np.int32))
+    got = {tuple(r) for r in leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == brute(docs, items) != set()
+
+
 def test_ids_are_the_same_everywhere():
     assert word_ids("A b, a_b") == [*word_ids("a"), *word_ids("B"), *word_ids("a"), *word_ids("b")]
     assert word_ids(None) == [] and len({word_ids(str(i))[0] for i in range(5_000)}) == 5_000
